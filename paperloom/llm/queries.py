@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_encode, format_duplicates, leakage
+from paperloom.llm import bpe_encode, format_duplicates, leakage, sentences, truncation
 from paperloom.runtime import Scratch, table
 
 
@@ -29,5 +30,27 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_spans(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p8_ids, p9_found, p9_spans)}
+def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = table(spark, sf, "hierarchy_nodes").where(F.col("node_type").isin("abstract", "paragraph"))
+    latest = nodes.groupBy("node_id").agg(F.max(F.struct("parsed_at", "content")).alias("s"))
+    return sentences.sentences(latest.select("node_id", "s.content"), "node_id", "content")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_sentences(spark, sf).select("node_id", "end_char")
+
+
+def p10_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "documents"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_truncated(spark, sf).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_by_source(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources)}
 ORACLES: dict[str, str] = {}
