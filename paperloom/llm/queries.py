@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_encode, format_duplicates, leakage, sentences, truncation
+from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, sentences, truncation
 from paperloom.runtime import Scratch, table
 
 
@@ -52,5 +52,18 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources)}
+def _p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    bib = markup.field_rows(table(spark, sf, "bib_entries"), "bib_entries", F.col("entry_id"), "raw_content")
+    return bib.unionByName(markup.field_rows(table(spark, sf, "hierarchy_nodes"), "hierarchy_nodes", F.col("node_id"), "content"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.with_markup(_p2_fields(spark, sf))
+
+
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.cleaned(_p2_fields(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources)}
 ORACLES: dict[str, str] = {}
