@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, sentences, truncation
+from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, name_variants, sentences, truncation
+from paperloom.operators.packed_values import NAMES, unpack
 from paperloom.runtime import Scratch, table
 
 
@@ -65,5 +66,18 @@ def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
     return markup.cleaned(_p2_fields(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources)}
+def _author_names(spark: SparkSession, sf: str) -> DataFrame:
+    bib = unpack(table(spark, sf, "bib_entries"), "entry_id", {"authors": NAMES}).select(F.col("value").alias("name"))
+    return bib.unionAll(table(spark, sf, "ref_entries").select(F.explode("authors").alias("name")))
+
+
+def p6_authors(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.author_of(_author_names(spark, sf))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.variant_pairs(_author_names(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources, p6_found, p6_authors)}
 ORACLES: dict[str, str] = {}
