@@ -71,31 +71,37 @@ def _comma_names(piece: Column) -> Column:
     return F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.concat(s["out"], F.array(s["open"]))).otherwise(s["out"]))
 
 
-def split_names(field: Column) -> Column:
-    """array<string> of the persons and groups of one author field, in reading order.
+def prepare_names(field: Column) -> Column:
+    """An author field with its quotes made alike, entities protected and a closing "and others" dropped."""
+    text = _trim(_protect(field))
+    single = text.rlike(r"^'(?:[^']|\\')*'\s*[;,|&/]") & text.rlike(r"'[\s;,|&/]*$")
+    text = F.when(single, F.regexp_replace(text, r"^'|(?<!\\)'(?=\s*(?:[;,|&/]|$))|(?<=[;,|&/]\s{0,3})'", '"')).otherwise(text)
+    return F.regexp_replace(text, _OTHERS, "")
+
+
+def split_names(text: Column) -> Column:
+    """prepare_names -> array<string> of the persons and groups of one author field, in reading order.
 
     Null gives null; blank gives an empty array. "Last, First" stays one value, whether the list is set apart by
     line ends, tabs, ``|``, ``·``, ``;``, ``/``, ``&``, "and" or commas. Quotes delimit values only where the field
     begins with one. A closing "et al." or "and others" is dropped.
     """
-    text = _trim(_protect(field))
-    single = text.rlike(r"^'(?:[^']|\\')*'\s*[;,|&/]") & text.rlike(r"'[\s;,|&/]*$")
-    text = F.when(single, F.regexp_replace(text, r"^'|(?<!\\)'(?=\s*(?:[;,|&/]|$))|(?<=[;,|&/]\s{0,3})'", '"')).otherwise(text)
-    text = F.regexp_replace(text, _OTHERS, "")
-
     def unquoted(piece: Column) -> Column:
         return F.flatten(F.transform(F.split(piece, _NAME_DELIMITER), _comma_names))
 
     return F.transform(_nonblank(F.transform(_by_quotes(text, text.startswith('"'), unquoted), lambda v: _trim(F.regexp_replace(v, _OTHERS, "")))), _restore)
 
 
-def split_references(field: Column) -> Column:
-    """array<string> of the printed references in one raw_content field, in reading order.
+def prepare_references(field: Column) -> Column:
+    return _trim(_protect(field))
+
+
+def split_references(text: Column) -> Column:
+    """prepare_references -> array<string> of the printed references in one raw_content field, in reading order.
 
     Recognised are quoted lists, "(a) .. (b) ..", "[1] .. [2] .." and ``;``, line ends, ``|`` or "; see also" before something
     that begins like a reference. A piece without a year belongs to the next one. Null gives null, blank an empty array.
     """
-    text = _trim(_protect(field))
     quoted = text.rlike(r'(?s)^".*"[\s,;]*$') & text.rlike(r'(?s)[^"]"\s*[,;|]\s*"[^"\s]|"""\s*[,;|]\s*"|"\s*[,;|]\s*"""')
     lettered = F.regexp_replace(text, r"^\(a\)\s+", "")
     numbered = F.regexp_replace(text, r"^\[1\]\s+", "")
@@ -114,12 +120,16 @@ def split_references(field: Column) -> Column:
     return F.transform(_by_quotes(text, quoted, lambda p: F.when(quoted, F.array(p)).otherwise(folded)), _restore)
 
 
-def unpack(rows: DataFrame, key: str, fields: dict[str, object]) -> DataFrame:
-    """rows -> (key, field_name, pos, value): one row per value of each field that ``fields`` maps to a splitter; pos counts from 1.
+NAMES, REFERENCES = (prepare_names, split_names), (prepare_references, split_references)
+
+
+def unpack(rows: DataFrame, key: str, fields: dict[str, tuple]) -> DataFrame:
+    """rows -> (key, field_name, pos, value, n_values): one row per value of each field; ``fields`` maps a field to NAMES or REFERENCES, pos counts from 1.
 
     Repeated rows (equal in key and fields) count once; null and blank fields give no rows; other columns are ignored.
     """
     own = rows.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)]).distinct()
-    packed = F.array(*[F.struct(F.lit(f).alias("field_name"), split(F.col(f"_f{i}")).alias("vals")) for i, (f, split) in enumerate(fields.items())])
+    own = own.select("_key", *[prepare(F.col(f"_f{i}")).alias(f"_f{i}") for i, (prepare, _) in enumerate(fields.values())])  # computed once, read many times
+    packed = F.array(*[F.struct(F.lit(f).alias("field_name"), split(F.col(f"_f{i}")).alias("vals")) for i, (f, (_, split)) in enumerate(fields.items())])
     flat = own.select("_key", F.explode(packed).alias("p")).select("_key", "p.field_name", F.size("p.vals").alias("n_values"), F.posexplode("p.vals").alias("pos", "value"))
     return flat.select(F.col("_key").alias(key), "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "value", F.col("n_values").cast("int").alias("n_values"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.hierarchy import descendant_pairs, latest_links, nested_sets
-from paperloom.operators.packed_values import split_names, split_references, unpack
+from paperloom.operators.packed_values import NAMES, REFERENCES, unpack
 from paperloom.runtime import table
 
 
 def p4_values(spark: SparkSession, sf: str) -> DataFrame:
-    fields = {"authors": split_names, "raw_content": split_references}
+    fields = {"authors": NAMES, "raw_content": REFERENCES}
     return unpack(table(spark, sf, "bib_entries"), "entry_id", fields)
 
 

@@ -85,7 +85,7 @@ def width(spark: SparkSession) -> int:
 
 def tables_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, for checking a broadcast before asking for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
