@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, name_variants, sentences, truncation
+from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, name_variants, sentences, soft_linkage, truncation
 from paperloom.operators.packed_values import NAMES, unpack
 from paperloom.runtime import Scratch, table
 
@@ -79,5 +79,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return name_variants.variant_pairs(_author_names(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources, p6_found, p6_authors)}
+def p7_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return soft_linkage.linked(soft_linkage.matches(table(spark, sf, "bib_entries"), table(spark, sf, "ref_entries")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_matches(spark, sf).select("entry_id", "ref_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources, p6_found, p6_authors, p7_found, p7_matches)}
 ORACLES: dict[str, str] = {}
