@@ -35,6 +35,8 @@ WEIGHTS = {"same": 6.0, "same_title": 3.0, "identifier": 1.0, "other_title": 8.0
 #: Matches of at least this confidence are reported.
 LEAST_CONFIDENCE = 0.5
 ADMM_ROUNDS, ADMM_STEP = 60, 1.0
+#: Titles of so few letters are held against each other letter by letter.
+SHORT_TITLE = 24
 #: Shared blocking keys that make a candidate.
 LEAST_KEYS = 2
 
@@ -145,6 +147,8 @@ def evidence(e: tuple, r: tuple, cache: dict) -> tuple[float, float, float, floa
     common = len(a & b)
     if not e[0] or not r[0]:
         title = 0.0
+    elif max(len(e[0]), len(r[0])) <= SHORT_TITLE and one_edit(e[0], r[0]):
+        title = 1.0
     elif e[6]:
         title = common / min(len(a), len(b)) if min(len(a), len(b)) >= 0.35 * max(len(a), len(b)) else common / len(b)
     else:
@@ -169,7 +173,7 @@ def solve(group: np.ndarray, paper: np.ndarray, ev: np.ndarray) -> np.ndarray:
     sure = np.clip((title - 0.62) / 0.2, 0, 1)  # how far the titles count as one
     w = WEIGHTS
     # body -> match: hinge max(0, body - y); body -> not match: hinge max(0, body + y - 1)
-    up = [(w["same"], sure * (people > 0)), (w["same_title"], np.where(people == 0, np.minimum(sure, (year > 0) * 1.0 + 0.4 * (year == 0)), 0.0)), (w["identifier"], ident * np.clip(title / 0.5, 0, 1))]
+    up = [(w["same"], sure * (people > 0)), (w["same_title"], np.where(people == 0, np.minimum(sure, (year > 0) * 1.0 + 0.75 * (year == 0)), 0.0)), (w["identifier"], ident * np.clip(title / 0.5, 0, 1))]
     down = [(w["other_title"], 1 - sure), (w["other_people"], (people < 0) * 1.0), (w["sequel"], sequel), (w["other_year"], np.clip(-year, 0, 1)), (w["prior"], np.full(n, 0.6))]
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
