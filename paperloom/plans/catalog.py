@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import general
+from paperloom.plans import general, matching
 
-MODULES = [general]
-flagship = general.p4_values
+MODULES = [general, matching]
+flagship = matching.rank_top5
