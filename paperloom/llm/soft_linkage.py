@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.name_variants import fold, hash_gram
+from paperloom.llm.name_variants import fold
 from paperloom.runtime import Scratch
 
 _STOP = frozenset("a an the of on and or for in under from with by to at how is are via or what next".split())
@@ -51,43 +51,58 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
 
 
-def _misspelled_mark(word: str) -> str:
-    for mark in ("revisited", "erratum", "further", "results"):
-        if word != mark and abs(len(word) - len(mark)) <= 1 and (word[0] == mark[0] or word[-1] == mark[-1]) and one_edit(word, mark):
-            return mark
-    return ""
+def _misspellings(words: tuple[str, ...]) -> dict[str, str]:
+    """Every string one edit away from a word, with the word."""
+    letters, out = "abcdefghijklmnopqrstuvwxyz", {}
+    for w in words:
+        for i in range(len(w) + 1):
+            near = [w[:i] + c + w[i:] for c in letters]
+            if i < len(w):
+                near += [w[:i] + w[i + 1 :], *(w[:i] + c + w[i + 1 :] for c in letters)]
+            if i < len(w) - 1:
+                near.append(w[:i] + w[i + 1] + w[i] + w[i + 2 :])
+            out.update((x, w) for x in near if x != w)
+    return out
+
+
+_MISSPELLED = _misspellings(("revisited", "erratum", "further", "results"))
 
 
 def title_parts(title: str) -> tuple[str, str, list[str]]:
     """(letters run together, sequel words, content words) of a title, accents and markup removed."""
-    text = fold(_TEX.sub(" ", _FORMULA.sub(" ", title)))
-    for word in _WORDS.findall(text):
-        if len(word) > 5 and (right := _misspelled_mark(word)):
-            text = text.replace(word, right)
-    marks = " ".join(sorted(m.strip(": ") for m in _SEQUEL.findall(text)))
-    bare = _WORDS.findall(_SEQUEL.sub(" ", text))
-    if not bare:  # the whole title is such a word
-        marks, bare = "", _WORDS.findall(text)
+    if "$" in title:
+        title = _FORMULA.sub(" ", title)
+    text = fold(_TEX.sub(" ", title))
+    bare, marks = _WORDS.findall(text), ""
+    for word in bare:
+        if word in _MISSPELLED:
+            text = text.replace(word, _MISSPELLED[word])
+    if found := _SEQUEL.findall(text):
+        marks = " ".join(sorted(m.strip(": ") for m in found))
+        rest = _WORDS.findall(_SEQUEL.sub(" ", text))
+        bare, marks = (rest, marks) if rest else (bare, "")  # or the whole title is such a word
     return "".join(bare), marks, [w for w in bare if w not in _STOP]
 
 
-def _keys(pub: str, words: list[str], names: list[str], identifier: str) -> list[int]:
-    stems = [w[:4] for w in words]
-    raw = {f"{pub}|t|{a}|{b}" for a, b in zip(stems, stems[1:])} | {f"{pub}|u|{a}|{b}" for a, b in zip(stems, stems[2:])} | {f"{pub}|n|{n[:6]}" for n in names} | {f"{pub}|m|{n[-6:]}" for n in names}
-    if identifier:
-        raw |= {f"{pub}|i|{identifier}", f"{pub}|j|{identifier}"}
-    if len(stems) == 1:
-        raw.add(f"{pub}|s|{stems[0]}")
-    return [hash_gram(k) - (1 << 64) if hash_gram(k) >= 1 << 63 else hash_gram(k) for k in raw]
+def _blocking_keys() -> Column:
+    """64-bit keys of a prepared row: neighbouring stems of title words (in short titles also next but one), surnames, the identifier."""
+    stems = F.transform(F.filter(F.split("words", " "), lambda w: w != ""), lambda w: F.substring(w, 1, 4))
+    size = F.size(stems)
+    pair = lambda kind, step: F.transform(F.when(size > step, F.sequence(F.lit(0), size - step - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64("pub", F.lit(kind), F.get(stems, i), F.get(stems, i + step)))
+    names = F.transform(F.filter(F.split("names", " "), lambda n: F.length(n) > 3), lambda n: F.xxhash64("pub", F.lit("n"), F.substring(n, 1, 6)))
+    none = F.array().cast("array<bigint>")
+    alone = F.when(size == 1, F.array(F.xxhash64("pub", F.lit("s"), F.get(stems, F.lit(0))))).otherwise(none)
+    identifier = F.when(F.col("identifier") != "", F.array(F.xxhash64("pub", F.lit("i"), "identifier"), F.xxhash64("pub", F.lit("j"), "identifier"))).otherwise(none)
+    return F.array_distinct(F.concat(pair("t", 1), F.when(size <= 4, pair("u", 2)).otherwise(none), names, alone, identifier))
 
 
-_OUT = ["id", "pub", "letters", "marks", "names", "lead", "year", "identifier", "title_known", "keys"]
-_SCHEMA = "id bigint, pub string, letters string, marks string, names string, lead string, year int, identifier string, title_known boolean, keys array<bigint>"
+_OUT = ["id", "pub", "letters", "marks", "names", "lead", "year", "identifier", "title_known", "words"]
+_SCHEMA = "id bigint, pub string, letters string, marks string, names string, lead string, year int, identifier string, title_known boolean, words string"
 
 
 def _prepared(rows: DataFrame, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
         for batch in batches:
             made = [make(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], _OUT)
@@ -104,7 +119,7 @@ def _entry(eid, pub, title, authors, year, identifier, raw):
     found = _YEAR.search(year or "") or (_YEAR.findall(piece) and re.search(_YEAR.findall(piece)[-1], piece))
     known = bool(title and title.strip())
     ident = (identifier or "").strip().replace(".", "-")
-    return eid, pub, letters, marks, " ".join(names) if people else "", "", int(found.group()[:4]) if found else None, ident, known, _keys(pub, words if known else words[:40], names[:60], ident)
+    return eid, pub, letters, marks, " ".join(names) if people else "", "", int(found.group()[:4]) if found else None, ident, known, " ".join(words)
 
 
 def _candidate(rid, pub, title, authors, date, identifier):
@@ -117,7 +132,7 @@ def _candidate(rid, pub, title, authors, date, identifier):
     ident = (identifier or "").strip().replace(".", "-")
     found = _YEAR.search(date or "")
     year = int(found.group()) if found else 2000 + int(ident[:2]) if re.match(r"\d{4}-\d{4,5}$", ident) else None
-    return rid, pub, letters, marks, " ".join(names), names[0] if names else "", year, ident, bool(letters), _keys(pub, words, [n for n in names if len(n) > 3], ident)
+    return rid, pub, letters, marks, " ".join(names), names[0] if names else "", year, ident, bool(letters), " ".join(words)
 
 
 def _grams(letters: str) -> frozenset[str]:
@@ -143,7 +158,9 @@ def evidence(e: tuple, r: tuple, cache: dict) -> tuple[float, float, float, floa
             lead.setdefault(w[:3], []).append(w)
             lead.setdefault("-" + w[-3:], []).append(w)
         cache.update(e=e, grams=_grams(e[0]), words=words, lead=lead)
-    a, b = cache["grams"], _grams(r[0])
+    a, b = cache["grams"], cache["papers"].get(r[0])
+    if b is None:
+        b = cache["papers"][r[0]] = _grams(r[0])
     common = len(a & b)
     if not e[0] or not r[0]:
         title = 0.0
@@ -222,28 +239,26 @@ def matches(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     left = scratch.save(_prepared(own, _entry), "entries")
     right = scratch.save(_prepared(refs, _candidate), "candidates")
 
-    a = left.select(F.col("id").alias("eid"), F.explode("keys").alias("k"))
-    b = right.select(F.col("id").alias("rid"), F.explode("keys").alias("k"))
+    a = left.select(F.col("id").alias("eid"), F.explode(_blocking_keys()).alias("k"))
+    b = right.select(F.col("id").alias("rid"), F.explode(_blocking_keys()).alias("k"))
     pairs = a.join(b, "k").groupBy("eid", "rid").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_KEYS)
-    side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in _OUT if c not in ("keys", "pub")])
+    side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in _OUT if c not in ("words", "pub")])
     full = pairs.join(side(right, "r_"), F.col("rid") == F.col("r_id")).join(side(left, "e_"), F.col("eid") == F.col("e_id"))
     names = ["letters", "marks", "names", "lead", "year", "identifier", "title_known"]
-    full = full.select("eid", "rid", *[f"e_{c}" for c in names], *[f"r_{c}" for c in names])
+    paper = F.xxhash64("r_letters", "r_names", "r_marks").alias("paper")
+    full = full.select("eid", "rid", *[f"e_{c}" for c in names], *[f"r_{c}" for c in names], paper)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            cache: dict = {}
+            cache: dict = {"papers": {}}
             ev, last, e = [], None, None
             for row in zip(*cols):
                 if row[0] != last:
                     last, e = row[0], row[2:9]
                 ev.append(evidence(e, row[9:16], cache))
-            papers = [f"{x[9]}|{x[11]}|{x[10]}" for x in zip(*cols)]
-            sig = [hash_gram(p) - (1 << 64) if hash_gram(p) >= 1 << 63 else hash_gram(p) for p in dict.fromkeys(papers)]
-            lookup = dict(zip(dict.fromkeys(papers), sig))
             arr = np.array(ev, dtype=np.float64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([lookup[p] for p in papers], pa.int64()), *(pa.array(arr[:, i]) for i in range(5))], ["eid", "rid", "paper", *_EV])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(16), *(pa.array(arr[:, i]) for i in range(5))], ["eid", "rid", "paper", *_EV])
 
     scored = full.mapInArrow(score, "eid bigint, rid bigint, paper bigint, " + ", ".join(f"{c} double" for c in _EV)).where("title > 0.45 or identifier > 0")
 
