@@ -37,7 +37,7 @@ LEAST_CONFIDENCE = 0.5
 ADMM_ROUNDS, ADMM_STEP = 60, 1.0
 #: Titles of so few letters are held against each other letter by letter.
 SHORT_TITLE = 24
-#: Shared blocking keys that make a candidate.
+#: Shared title keys that make a candidate.
 LEAST_KEYS = 2
 
 
@@ -84,16 +84,17 @@ def title_parts(title: str) -> tuple[str, str, list[str]]:
     return "".join(bare), marks, [w for w in bare if w not in _STOP]
 
 
-def _blocking_keys() -> Column:
-    """64-bit keys of a prepared row: neighbouring stems of title words (in short titles also next but one), surnames, the identifier."""
+def _blocking_keys() -> tuple[Column, Column]:
+    """64-bit keys of a prepared row: neighbouring stems of title words (in short titles also next but one), of which two must be
+    shared; surnames and the identifier, of which one is enough."""
     stems = F.transform(F.filter(F.split("words", " "), lambda w: w != ""), lambda w: F.substring(w, 1, 4))
     size = F.size(stems)
     pair = lambda kind, step: F.transform(F.when(size > step, F.sequence(F.lit(0), size - step - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64("pub", F.lit(kind), F.get(stems, i), F.get(stems, i + step)))
     names = F.transform(F.filter(F.split("names", " "), lambda n: F.length(n) > 3), lambda n: F.xxhash64("pub", F.lit("n"), F.substring(n, 1, 6)))
     none = F.array().cast("array<bigint>")
     alone = F.when(size == 1, F.array(F.xxhash64("pub", F.lit("s"), F.get(stems, F.lit(0))))).otherwise(none)
-    identifier = F.when(F.col("identifier") != "", F.array(F.xxhash64("pub", F.lit("i"), "identifier"), F.xxhash64("pub", F.lit("j"), "identifier"))).otherwise(none)
-    return F.array_distinct(F.concat(pair("t", 1), F.when(size <= 4, pair("u", 2)).otherwise(none), names, alone, identifier))
+    identifier = F.when(F.col("identifier") != "", F.array(F.xxhash64("pub", F.lit("i"), "identifier"))).otherwise(none)
+    return F.array_distinct(F.concat(pair("t", 1), F.when(size <= 4, pair("u", 2)).otherwise(none), alone)), F.array_distinct(F.concat(names, identifier))
 
 
 _OUT = ["id", "pub", "letters", "marks", "names", "lead", "year", "identifier", "title_known", "words"]
@@ -239,9 +240,11 @@ def matches(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     left = scratch.save(_prepared(own, _entry), "entries")
     right = scratch.save(_prepared(refs, _candidate), "candidates")
 
-    a = left.select(F.col("id").alias("eid"), F.explode(_blocking_keys()).alias("k"))
-    b = right.select(F.col("id").alias("rid"), F.explode(_blocking_keys()).alias("k"))
-    pairs = a.join(b, "k").groupBy("eid", "rid").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_KEYS)
+    some, strong = _blocking_keys()
+    weigh = lambda keys, w: F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(w).alias("w")))
+    a = left.select(F.col("id").alias("eid"), F.explode(F.concat(weigh(some, 1), weigh(strong, LEAST_KEYS))).alias("x")).select("eid", "x.k", "x.w")
+    b = right.select(F.col("id").alias("rid"), F.explode(F.concat(some, strong)).alias("k"))
+    pairs = a.join(b, "k").groupBy("eid", "rid").agg(F.sum("w").alias("n")).where(F.col("n") >= LEAST_KEYS)
     side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in _OUT if c not in ("words", "pub")])
     full = pairs.join(side(right, "r_"), F.col("rid") == F.col("r_id")).join(side(left, "e_"), F.col("eid") == F.col("e_id"))
     names = ["letters", "marks", "names", "lead", "year", "identifier", "title_known"]
