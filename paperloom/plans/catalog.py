@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import general, matching
+from paperloom.plans import general, matching, parsing
 
-MODULES = [general, matching]
+MODULES = [general, matching, parsing]
 flagship = matching.rank_top5
