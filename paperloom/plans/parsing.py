@@ -180,7 +180,7 @@ def bibitem_scan_rt(spark, sf):
     return docs.select("pub_id", F.explode(L.bibitems_of(F.col("tex"))).alias("b")).select("pub_id", F.col("b.key").alias("bib_key"), "b.body")
 
 
-@query(f"SELECT entry_id, 'misc' AS type, 'A. Body, "' AS author, t AS title, '2010' AS year, 'Journal of Things' AS journal, '12' AS volume, '3-9' AS pages, '10.1234/x' AS doi, '1001.00001' AS arxiv FROM {_PLAIN_SQL} WHERE t <> '' AND NOT regexp_matches(t, '(?i)press|book|proceedings|conference') AND NOT regexp_matches(t, '[0-9]|Nature|Science|Journal|Proc|IEEE|ACM')")
+@query(f"SELECT entry_id, 'misc' AS type, 'A. Body, ' || chr(34) AS author, t AS title, '2010' AS year, 'Journal of Things' AS journal, '12' AS volume, '3-9' AS pages, '10.1234/x' AS doi, '1001.00001' AS arxiv FROM {_PLAIN_SQL} WHERE t <> '' AND NOT regexp_matches(t, '(?i)press|book|proceedings|conference') AND NOT regexp_matches(t, '[0-9]|Nature|Science|Journal|Proc|IEEE|ACM')")
 def bibitem_to_bibtex_rt(spark, sf):
     made = F.concat(F.lit('A. Body, "'), "t", F.lit('", Journal of Things, 12:3–9, 2010. doi 10.1234/x. arXiv:1001.00001'))
     rows = _plain(spark, sf).where("t <> ''").where(~F.col("t").rlike("(?i)press|book|proceedings|conference") & ~F.col("t").rlike("[0-9]|Nature|Science|Journal|Proc|IEEE|ACM"))
