@@ -28,10 +28,6 @@ def latest_links(rows: DataFrame, node: str, parent: str, version: Column) -> Da
     return links.groupBy("node_id").agg(F.max("s").alias("s")).select("node_id", F.col("s.parent").alias("parent"))
 
 
-def _count(spark, path: str) -> int:
-    return spark.read.parquet(path).count()
-
-
 def nested_sets(links: DataFrame) -> DataFrame:
     """(node_id, parent) with unique node_id -> node_id, parent, root_id, depth, path, lft, rgt, n_descendants, in_cycle.
 
@@ -59,7 +55,7 @@ def nested_sets(links: DataFrame) -> DataFrame:
         ready = _part(spark, path, "ready=true", columns)
         if ready is None:
             break
-        sized.append(ready.select("node_id", "n_children", "size"))
+        sized.append(f"{path}/ready=true")
         waiting = _part(spark, path, "ready=false", columns)
         if waiting is None:
             break
@@ -73,10 +69,9 @@ def nested_sets(links: DataFrame) -> DataFrame:
     cycles = _cycle_labels(looping.select("node_id", "parent"), scratch) if looping is not None else None
 
     # Siblings' offsets: prefix sums inside buckets, and over the buckets of a parent.
-    nodes = spark.createDataFrame([], "node_id string, n_children bigint, size bigint")
-    for part in sized:
-        nodes = nodes.unionAll(part)
-    nodes = nodes.join(base, "node_id")
+    # all levels are read by one scan over their folders
+    nodes = spark.read.schema(columns).parquet(*sized) if sized else spark.createDataFrame([], columns)
+    nodes = nodes.select("node_id", "n_children", "size").join(base, "node_id")
     nodes = nodes.join(fan.select("p", F.col("n_children").alias("siblings")), nodes["parent"] == F.col("p"), "left").drop("p")
     bucket = F.pmod(F.xxhash64("node_id"), F.ceil(F.coalesce("siblings", F.lit(1)) / SIBLINGS_PER_TASK)).alias("bucket")
     nodes = nodes.select("node_id", "parent", "given_parent", "size", bucket)
@@ -88,7 +83,6 @@ def nested_sets(links: DataFrame) -> DataFrame:
     inner = inner.join(sums, ["parent", "bucket"]).select("node_id", "parent", "given_parent", "size", (F.col("offset") + F.col("b_start") + 1).alias("offset"))
     roots = nodes.where("parent is null").select("node_id", "parent", "given_parent", "size", F.lit(0).cast("bigint").alias("offset"))
 
-    placed_columns = "node_id string, given_parent string, size bigint, root_id string, depth int, lft bigint, path array<string>, in_cycle boolean"
     frontier = roots.select(
         "node_id", "given_parent", "size", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("lft"), F.array("node_id").alias("path"), F.lit(False).alias("in_cycle")
     )
@@ -97,28 +91,24 @@ def nested_sets(links: DataFrame) -> DataFrame:
             "node_id", "given_parent", F.lit(None).cast("bigint").alias("size"), F.col("label").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("bigint").alias("lft"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("in_cycle")
         )
         frontier = frontier.unionAll(on_cycle)
-    done = [scratch.save(frontier, "down0")]
+    first = level = scratch.save(frontier, "down0")
+    done: list[str] = []
     rest = scratch.save(inner, "rest0")
     rest_columns = "node_id string, parent string, given_parent string, size bigint, offset bigint"
+    joined_columns = rest_columns + ", t_root string, t_depth int, t_lft bigint, t_path array<string>"
     step = 0
     while rest is not None:
         step += 1
-        top = done[-1].select(F.col("node_id").alias("t_id"), F.col("root_id").alias("t_root"), F.col("depth").alias("t_depth"), F.col("lft").alias("t_lft"), F.col("path").alias("t_path"))
+        top = level.select(F.col("node_id").alias("t_id"), F.col("root_id").alias("t_root"), F.col("depth").alias("t_depth"), F.col("lft").alias("t_lft"), F.col("path").alias("t_path"))
         joined = rest.join(top, rest["parent"] == top["t_id"], "left").withColumn("placed", F.col("t_id").isNotNull())
         path = scratch.write(joined, f"down{step}", "placed")
-        placed = _part(spark, path, "placed=true", rest_columns + ", t_root string, t_depth int, t_lft bigint, t_path array<string>")
+        placed = _part(spark, path, "placed=true", joined_columns)
         if placed is None:
             break
-        done.append(
-            placed.select(
-                "node_id", "given_parent", "size", F.col("t_root").alias("root_id"), F.when(F.col("t_depth") < 0, F.lit(-1)).otherwise(F.col("t_depth") + 1).alias("depth"),
-                (F.col("t_lft") + F.col("offset")).alias("lft"), F.when(F.col("t_path").isNotNull(), F.concat("t_path", F.array("node_id"))).alias("path"), F.lit(False).alias("in_cycle"),
-            )
-        )
+        done.append(f"{path}/placed=true")
+        level = _placed(placed)
         rest = _part(spark, path, "placed=false", rest_columns)
-    result = spark.createDataFrame([], placed_columns)
-    for part in done:
-        result = result.unionAll(part)
+    result = first.unionAll(_placed(spark.read.schema(joined_columns).parquet(*done))) if done else first
     tree = F.col("depth") >= 0
     return result.select(
         "node_id", F.col("given_parent").alias("parent"), "root_id", "depth", F.when(tree, F.col("path")).alias("path"), F.when(tree, F.col("lft")).alias("lft"),
@@ -126,6 +116,14 @@ def nested_sets(links: DataFrame) -> DataFrame:
     )
 
 
+def _placed(joined: DataFrame) -> DataFrame:
+    """Nodes with what they take from their parents' places."""
+    return joined.select(
+        "node_id", "given_parent", "size", F.col("t_root").alias("root_id"), F.when(F.col("t_depth") < 0, F.lit(-1)).otherwise(F.col("t_depth") + 1).alias("depth"),
+        (F.col("t_lft") + F.col("offset")).alias("lft"), F.when(F.col("t_path").isNotNull(), F.concat("t_path", F.array("node_id"))).alias("path"), F.lit(False).alias("in_cycle"),
+    )
+
+
 def _part(spark, path: str, folder: str, schema: str) -> DataFrame | None:
     """One partition folder of a written step, or None if no row fell into it."""
     jvm = spark.sparkContext._jvm

@@ -88,8 +88,9 @@ def tables_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Broadcast hint only while the estimate stays under the limit; beyond it a shuffle join is planned."""
+def maybe_broadcast(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+    """Broadcast hint only while the estimate (for a written table its compressed size) stays under the limit; beyond it a
+    shuffle join is planned."""
     return F.broadcast(df) if tables_bytes(df) <= limit_bytes else df
 
 
