@@ -88,6 +88,11 @@ def abstract_of(c: Column) -> Column:
     return F.nullif(collapse(F.regexp_extract(c, r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1)), F.lit(""))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda an outer expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _zipped(c: Column, pattern: str, **groups: int) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items()])
 
@@ -101,11 +106,11 @@ MARK = "\ue020"
 def sections_of(c: Column) -> Column:
     """array<struct<type, level, title, body>> in reading order; the body runs to the next heading of any level."""
     c = F.regexp_replace(F.replace(c, F.lit(MARK), F.lit("")), HEAD, f"{MARK}$1{MARK}$2{MARK}")
-    pieces = F.split(c, MARK)
-    count = F.floor((F.size(pieces) - 1) / 3).cast("int")
     level = lambda t: F.when(t == "section", 1).when(t == "subsection", 2).when(t == "subsubsection", 3).otherwise(4)
-    made = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.get(pieces, 1 + i * 3).alias("type"), level(F.get(pieces, 1 + i * 3)).alias("level"), strip(F.get(pieces, 2 + i * 3)).alias("title"), F.get(pieces, 3 + i * 3).alias("body")))
-    return F.when(count > 0, made).otherwise(F.array().cast("array<struct<type:string,level:int,title:string,body:string>>"))
+    head = lambda p, i: F.struct(F.get(p, 1 + i * 3).alias("type"), level(F.get(p, 1 + i * 3)).alias("level"), strip(F.get(p, 2 + i * 3)).alias("title"), F.get(p, 3 + i * 3).alias("body"))
+    count = lambda p: F.floor((F.size(p) - 1) / 3).cast("int")
+    empty = F.array().cast("array<struct<type:string,level:int,title:string,body:string>>")
+    return bind(F.split(c, MARK), lambda p: F.when(count(p) > 0, F.transform(F.sequence(F.lit(0), count(p) - 1), lambda i: head(p, i))).otherwise(empty))
 
 
 def is_reference_title(c: Column) -> Column:
@@ -142,7 +147,7 @@ def environments_of(c: Column) -> Column:
 def items_of(body: Column) -> Column:
     """Items of a list body longer than three characters, blanks collapsed."""
     pieces = F.split(body, r"\\item(?:\[[^\]]*\])?\s*")
-    return F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), collapse), lambda x: F.length(x) > 3)
+    return bind(pieces, lambda p: F.filter(F.transform(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), collapse), lambda x: F.length(x) > 3))
 
 
 def lists_of(c: Column) -> Column:
@@ -185,17 +190,18 @@ def sentences_of(c: Column, least: int = 5) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"))
 
-    def step(state: Column, piece: Column) -> Column:
-        parts = F.split(piece, _MATH, -1)
-        filled = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.get(formulas, state["used"] + i - 1), F.lit("")), x))), "")
-        return F.struct(F.concat(state["out"], F.array(restore(filled))).alias("out"), (state["used"] + F.size(parts) - 1).alias("used"))
-
-    # formulas of dropped fragments must be counted too, so the fold runs over all pieces and filters last
-    every = F.transform(F.split(held, r"(?<=[.!?])\s+(?=[A-Z]|$)"), strip)
-    whole = F.aggregate(every, start, step, lambda s: s["out"])
-    keep = F.transform(every, lambda p: F.length(p) >= least)
-    kept = F.filter(F.transform(F.arrays_zip(whole.alias("s"), keep.alias("k")), lambda x: F.when(x["k"], x["s"])), lambda s: s.isNotNull())
-    return F.when(F.length(strip(c)) >= 10, kept).otherwise(F.array().cast("array<string>"))
+    def fold(x: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            filled = bind(F.split(piece, _MATH, -1), lambda parts: F.array_join(F.transform(parts, lambda q, i: F.when(i == 0, q).otherwise(F.concat(F.coalesce(F.get(x["formulas"], state["used"] + i - 1), F.lit("")), q))), ""))
+            # formulas of dropped fragments count too; the text is judged as it stands while they are held
+            out = F.when(F.length(piece) >= least, F.concat(state["out"], F.array(restore(filled)))).otherwise(state["out"])
+            return F.struct(out.alias("out"), (state["used"] + F.regexp_count(piece, F.lit(_MATH))).alias("used"))
+
+        return F.aggregate(x["pieces"], start, step, lambda st: st["out"])
+
+    pieces = F.transform(F.split(held, r"(?<=[.!?])\s+(?=[A-Z]|$)"), strip)
+    whole = bind(F.struct(formulas.alias("formulas"), pieces.alias("pieces")), fold)
+    return F.when(F.length(strip(c)) >= 10, whole).otherwise(F.array().cast("array<string>"))
 
 
 def bibitems_of(c: Column) -> Column:

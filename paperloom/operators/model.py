@@ -30,14 +30,14 @@ def train(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label"
     grid = GRID
     while True:
         stats = sufficient_statistics(filled, features, label, grid)
-        rows = stats.limit(max_vectors + 1).collect()
-        if len(rows) <= max_vectors:
+        rows = stats.limit(max_vectors + 1).toArrow()
+        if rows.num_rows <= max_vectors:
             break
         grid *= 10
-    if not rows:
+    if not rows.num_rows:
         return [0.0] * len(features), 0.0
-    x = np.array([[r[f] for f in features] for r in rows], dtype=float) * grid
-    n, y = np.array([r["n"] for r in rows], dtype=float), np.array([r["y"] for r in rows], dtype=float)
+    x = np.column_stack([rows.column(f).to_numpy() for f in features]) * grid
+    n, y = rows.column("n").to_numpy().astype(float), rows.column("y").to_numpy()
     order = np.lexsort(x.T)
     x, n, y = x[order], n[order], y[order]
     w, b, total = np.zeros(len(features)), 0.0, n.sum()
