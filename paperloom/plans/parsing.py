@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
 from paperloom.functions import text as X
-from paperloom.operators import dedup, tree
+from paperloom.operators import bibliography, dedup, tree
 from paperloom.plans.matching import _BASE, _STOP, _clean, _entries, _surname, _title
 from paperloom.runtime import table
 from paperloom.sources import publications as P
@@ -423,3 +423,46 @@ def run_summary(spark, sf):
     n = table(spark, sf, "hierarchy_nodes").select("pub_id", "node_id").distinct().groupBy("pub_id").agg(F.count("*").alias("n"))
     s = table(spark, sf, "publications").select("pub_id").join(n, "pub_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return s.agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("successful"), F.count_if(F.col("n") == 0).alias("failed"), F.sum("n").alias("total_nodes"))
+
+
+@query(f"SELECT pub_id, bib_key, max(t) AS title, '2014' AS year FROM {_PLAIN_SQL} GROUP BY 1,2")
+def bibliography_union_rt(spark, sf):
+    """Half of the keys as bibitems, half as .bib entries; the texts cite all of them and repeat the bibitems in the .bib file."""
+    one = _plain(spark, sf).groupBy("pub_id", "bib_key").agg(F.max("t").alias("t"))
+    half = F.ascii(F.substring(F.md5("bib_key"), 1, 1)) % 2 == 0
+    item = F.concat(F.lit("\\bibitem{"), "bib_key", F.lit("} Ann Other. "), "t", F.lit(". 2014\n"))
+    entry = F.concat(F.lit("@article{"), "bib_key", F.lit(",\n  title = {"), F.when(half, F.lit("Other")).otherwise(F.col("t")), F.lit("},\n  year = {2014}\n}\n"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
+    docs = one.groupBy("pub_id").agg(F.concat(F.lit("\\cite{"), F.array_join(F.collect_list("bib_key"), ","), F.lit("}"), joined(F.when(half, item))).alias("tex"), joined(entry).alias("bib"))
+    tex = docs.select("pub_id", F.lit("a.tex").alias("rel_path"), F.col("tex").alias("content"))
+    bib = docs.select("pub_id", F.lit("a.bib").alias("rel_path"), F.col("bib").alias("content"))
+    return bibliography.extracted(tex, bib).select("pub_id", "bib_key", "title", "year")
+
+
+@query()
+def flat_elements(spark, sf):
+    return bibliography.flat_elements(_latex(spark, sf)).select("doc", "element_id", "type", "content", "level", "caption", "label")
+
+
+@query()
+def dedup_merged_output(spark, sf):
+    merged = dedup.merge_versions(_elements(spark, sf))
+    mapping = merged.select("pub_id", "merged_id", F.explode("original_ids").alias("o")).select("pub_id", "o.version", "o.original_id", "merged_id")
+    n = table(spark, sf, "hierarchy_nodes").groupBy("node_id").agg(F.max_by(F.struct("parent", "pub_id", "tex_version"), "parsed_at").alias("s"))
+    plain = lambda c: F.regexp_replace(c, "^[^_]*_", "")
+    links = n.where("trim(s.parent) <> ''").select("s.pub_id", F.col("s.tex_version").alias("version"), F.col("node_id").alias("pos"), plain(F.col("node_id")).alias("child"), plain(F.col("s.parent")).alias("parent"))
+    return bibliography.merged_output(merged, dedup.remap_edges(links, mapping))
+
+
+@query("SELECT DISTINCT r.pub_id, l.n_labels FROM ref_entries r LEFT JOIN (SELECT pub_id, count(DISTINCT bib_key) AS n_labels FROM labeled_pairs WHERE is_match GROUP BY 1) l ON l.pub_id = r.pub_id")
+def label_listing(spark, sf):
+    """Labels per publication; null where a publication has none."""
+    labels = table(spark, sf, "labeled_pairs").where("is_match").groupBy("pub_id").agg(F.countDistinct("bib_key").alias("n_labels"))
+    return table(spark, sf, "ref_entries").select("pub_id").distinct().join(labels, "pub_id", "left")
+
+
+@query("SELECT pub_id, ref_id, title FROM (SELECT *, row_number() OVER (PARTITION BY pub_id ORDER BY ref_pos, ref_id) AS n FROM (SELECT DISTINCT pub_id, ref_id, ref_pos, title FROM ref_entries)) WHERE n <= 20")
+def candidate_preview(spark, sf):
+    """The first 20 candidates of every publication."""
+    rows = table(spark, sf, "ref_entries").select("pub_id", "ref_id", "ref_pos", "title").distinct()
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("pub_id").orderBy("ref_pos", "ref_id"))).where("n <= 20").select("pub_id", "ref_id", "title")
