@@ -1,8 +1,8 @@
 """Spellings of persons and groups linked to one author each.
 
 Spellings are parsed into surname, first name and further initials. Typing errors are found by MinHash banding over padded
-q-grams: a rare token is linked to the frequent token next to it (star clustering: the frequent one is the centre). Inside
-a block of one surname the name forms are verified by Monge-Elkan similarity with an inner
+q-grams: a token is linked to the most frequent token one error away (star clustering: the frequent one is the centre), surnames
+only where first names and initials allow it. Inside a block of one surname the name forms are verified by Monge-Elkan similarity with an inner
 similarity that knows initials, nicknames, clipped names and typing errors, and clustered into stars around the fullest,
 most frequent forms.
 """
@@ -49,8 +49,10 @@ for _nick, _full in NICKNAMES.items():
 
 #: q-grams of this length, padded at both ends.
 QGRAM = 3
-#: A centre occurs at least so many times as often as a misspelling of it.
+#: A first name is set right without regard to the surname only by one at least so many times as frequent; other pairs meet inside their surname.
 CENTRE_RATIO = 3
+#: A spelled-out umlaut, under which tokens meet whatever else their q-grams say.
+UMLAUT = re.compile(r"([aou])e")
 LEAST_SIMILARITY = 0.85
 
 
@@ -114,9 +116,10 @@ def signatures(tokens: list[str], count: int) -> np.ndarray:
     return out
 
 
-def spelling_links(tokens: DataFrame, rows: int, similarity: float, recall: float = 0.99) -> DataFrame:
-    """(bucket, token, cnt), distinct -> (bucket, token, centre) of the tokens that are misspellings of a far more frequent token in
-    their bucket: one inserted, left out, changed letter or two neighbours swapped."""
+def spelling_pairs(tokens: DataFrame, rows: int, similarity: float, recall: float = 0.99) -> DataFrame:
+    """(bucket, token, cnt), distinct -> (bucket, token, cnt, centre, centre_cnt, umlaut): all pairs of one bucket that are one inserted,
+    left out, changed letter or two neighbours swapped apart, or (umlaut) differ in spelled-out umlauts alone. The more frequent token,
+    of equals the greater, is the centre."""
     bands = bands_for(similarity, rows, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,22 +132,69 @@ def spelling_links(tokens: DataFrame, rows: int, similarity: float, recall: floa
                 keys = (keys ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(31)
             keys += np.arange(bands, dtype=np.uint64)[None, :]
-            n = batch.num_rows
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+            plain = np.array([hash_gram(UMLAUT.sub(r"\1", t)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            keys = np.column_stack([keys, plain])
+            n, width = keys.shape
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["bucket", "token", "cnt", "keys"])
 
     banded = tokens.where(F.length("token") > 2).select("bucket", "token", "cnt").mapInArrow(run, "bucket string, token string, cnt bigint, keys array<bigint>")
     rare = banded.select("bucket", F.col("token").alias("t"), F.col("cnt").alias("c"), F.explode("keys").alias("k"))
-    often = banded.where(F.col("cnt") >= CENTRE_RATIO).select("bucket", F.col("token").alias("o"), F.col("cnt").alias("oc"), F.explode("keys").alias("k"))
+    often = banded.select("bucket", F.col("token").alias("o"), F.col("cnt").alias("oc"), F.explode("keys").alias("k"))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     swapped = (F.length("t") == F.length("o")) & (letters(F.col("t")) == letters(F.col("o")))
     distance = F.levenshtein("t", "o", 2)
-    near = rare.join(often, ["bucket", "k"]).where((F.col("oc") >= CENTRE_RATIO * F.col("c")) & (F.abs(F.length("t") - F.length("o")) <= 1) & (F.col("t") != F.col("o")))
-    near = near.groupBy("bucket", "t", "o").agg(F.max("oc").alias("oc")).where((distance == 1) | (distance == 2) & swapped)
-    best = near.groupBy("bucket", "t").agg(F.max(F.struct("oc", "o")).alias("s")).select("bucket", F.col("t").alias("token"), F.col("s.o").alias("centre"))
-    # a centre that is itself a misspelling is replaced by its own centre
-    up = best.select("bucket", F.col("token").alias("centre"), F.col("centre").alias("higher"))
-    return best.join(up, ["bucket", "centre"], "left").select("bucket", "token", F.coalesce("higher", "centre").alias("centre"))
+    umlaut = F.regexp_replace("t", UMLAUT.pattern, "$1") == F.regexp_replace("o", UMLAUT.pattern, "$1")
+    higher = (F.col("oc") > F.col("c")) | (F.col("oc") == F.col("c")) & (F.col("o") > F.col("t"))
+    near = rare.join(often, ["bucket", "k"]).where(higher & ((F.abs(F.length("t") - F.length("o")) <= 1) | umlaut))
+    near = near.groupBy("bucket", "t", "o").agg(F.max("c").alias("cnt"), F.max("oc").alias("centre_cnt")).withColumn("umlaut", umlaut)
+    near = near.where(F.col("umlaut") | (distance == 1) | (distance == 2) & swapped)
+    return near.select("bucket", F.col("t").alias("token"), "cnt", F.col("o").alias("centre"), "centre_cnt", "umlaut")
+
+
+def best_links(pairs: DataFrame, scratch: Scratch, step: str) -> DataFrame:
+    """spelling_pairs' columns -> (bucket, token, centre): each token's most frequent partner; a centre that is itself a misspelling
+    is replaced by its own centre, up to one that is none."""
+    best = pairs.groupBy("bucket", "token").agg(F.max(F.struct("centre_cnt", "centre")).alias("s")).select("bucket", "token", F.col("s.centre").alias("centre"))
+    best, n = scratch.save(best, f"{step}-0"), 0
+    while True:
+        up = best.select("bucket", F.col("token").alias("centre"), F.col("centre").alias("higher"))
+        if best.join(up, ["bucket", "centre"], "left_semi").isEmpty():
+            return best
+        raised = best.join(up, ["bucket", "centre"], "left").select("bucket", "token", F.coalesce("higher", "centre").alias("centre"))
+        best, n = scratch.save(raised, f"{step}-{n + 1}"), n + 1
+        scratch.free(f"{step}-{n - 1}")
+
+
+def same_people(a: list[tuple[str, str]], b: list[tuple[str, str]], short: bool) -> bool:
+    """Whether two surnames, given as their (first name, initials), can be one: where both have first names spelled out, or the surname
+    is short, two of these must agree, else an initial suffices; further initials must not differ."""
+    full_a, full_b = ([f for f in forms if len(f[0]) > 1] for forms in (a, b))
+    if full_a and full_b or short:
+        a, b = full_a, full_b
+    firsts: dict[str, list[tuple[str, str]]] = {}
+    for f in b:
+        firsts.setdefault(f[0], []).append(f)
+    if any(monge_elkan(x, y) >= LEAST_SIMILARITY for x in a for y in firsts.get(x[0], ())):
+        return True
+    return any(monge_elkan(x, y) >= LEAST_SIMILARITY for x in a for f, ys in firsts.items() if _inner(x[0], f) for y in ys)
+
+
+def verified(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """Rows of spelling_pairs over surnames that first names and initials (forms: bucket, surname, first, more) do not speak against."""
+    people = forms.select("bucket", "surname", "first", "more").groupBy("bucket", "surname").agg(F.collect_set(F.struct("first", "more")).alias("people"))
+    asked = pairs.join(people.select("bucket", F.col("surname").alias("token"), F.col("people").alias("a")), ["bucket", "token"]).join(people.select("bucket", F.col("surname").alias("centre"), F.col("people").alias("b")), ["bucket", "centre"])
+    columns = pairs.columns
+    asked = asked.select(*columns, "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([[(f["first"], f["more"]) for f in forms] for forms in batch.column(k).to_pylist()] for k in ("a", "b"))
+            short = [max(len(t), len(o)) < 5 for t, o in zip(batch.column("token").to_pylist(), batch.column("centre").to_pylist())]
+            keep = pa.array([same_people(*x) for x in zip(a, b, short)], pa.bool_())
+            yield batch.select(columns).filter(keep)
+
+    return asked.mapInArrow(run, pairs.schema)
 
 
 def _inner(a: str, b: str) -> float:
@@ -210,10 +260,11 @@ def author_of(names: DataFrame) -> DataFrame:
     parsed = scratch.save(spellings.mapInArrow(run, "spelling string, cnt bigint, kind string, surname string, first string, more string"), "parsed")
 
     firsts = parsed.where(F.length("first") > 4).groupBy(F.lit("").alias("bucket"), F.col("first").alias("token")).agg(F.sum("cnt").alias("cnt"))
-    first_links = maybe_broadcast(scratch.save(spelling_links(firsts, rows=2, similarity=0.4).select(F.col("token").alias("first"), F.col("centre").alias("first_centre")), "first"))
+    first_pairs = spelling_pairs(firsts, rows=2, similarity=0.4).where(F.col("umlaut") | (F.col("centre_cnt") >= CENTRE_RATIO * F.col("cnt")))
+    first_links = maybe_broadcast(best_links(first_pairs, scratch, "first").select(F.col("token").alias("first"), F.col("centre").alias("first_centre")))
     named = parsed.join(first_links, "first", "left").withColumn("first", F.coalesce("first_centre", "first")).withColumn("bucket", F.concat("kind", F.substring("first", 1, 1)))
     surnames = named.groupBy("bucket", F.col("surname").alias("token")).agg(F.sum("cnt").alias("cnt"))
-    links = scratch.save(spelling_links(surnames, rows=3, similarity=0.5).withColumnRenamed("token", "surname"), "surname")
+    links = best_links(verified(spelling_pairs(surnames, rows=3, similarity=0.5), named), scratch, "surname").withColumnRenamed("token", "surname")
     blocks = named.join(maybe_broadcast(links), ["bucket", "surname"], "left").withColumn("surname", F.coalesce("centre", "surname"))
     blocks = blocks.select("spelling", "cnt", F.col("kind").alias("bucket"), "surname", "first", "more")
     forms = blocks.groupBy("bucket", "surname", "first", "more").agg(F.sum("cnt").alias("cnt"))

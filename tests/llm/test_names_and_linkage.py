@@ -37,6 +37,13 @@ def test_variants(spark):
     assert N.variant_pairs(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_spellings_of_like_frequency_are_linked(spark):
+    rows = ["Haruka Ladvazmoener"] * 5 + ["H. Ladvazmöner"] * 4 + ["Haruka Ladvazmöner"] * 6 + ["Anna Müllöderin", "A. Muelloederin", "Theo Fivtugktaez", "T. Fivtugkatez", "Theo Fivtugkatez", "John Mandel", "J. Mandel", "Jane Mandal", "J. Mandal"]
+    pairs = {tuple(r) for r in N.variant_pairs(spark.createDataFrame([(x,) for x in rows], "name string")).collect()}
+    groups = [["Haruka Ladvazmoener", "H. Ladvazmöner", "Haruka Ladvazmöner"], ["Anna Müllöderin", "A. Muelloederin"], ["Theo Fivtugktaez", "T. Fivtugkatez", "Theo Fivtugkatez"], ["John Mandel", "J. Mandel"], ["Jane Mandal", "J. Mandal"]]
+    assert pairs == {p for g in groups for p in itertools.combinations(sorted(g), 2)}
+
+
 ENTRY = "entry_id bigint, pub_id string, title string, authors string, pub_year string, arxiv_id string, raw_content string, confidence double"
 REF = "ref_id bigint, pub_id string, title string, authors array<string>, submission_date string, arxiv_id string, confidence double"
 
