@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.matching import DEFAULT_WEIGHTS, FEATURES, probability
+from paperloom.runtime import Scratch
 
-#: Steps of the feature grid; pairs on one grid point share one row of statistics.
+#: Steps of the feature grid, the same for inputs of every size; pairs on one grid point share one row of statistics.
 GRID = 1e-3
 
 
@@ -23,31 +27,53 @@ def sufficient_statistics(pairs: DataFrame, features: list[str] = FEATURES, labe
 def train(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", lr: float = 0.1, epochs: int = 1000, max_vectors: int = 2_000_000) -> tuple[list[float], float]:
     """Full-batch gradient descent from zero weights, without scaling or penalty -> (weights, bias).
 
-    One Spark job reduces the pairs to distinct vectors; the epochs run on the driver over that table. While the table would exceed
-    ``max_vectors`` the grid is made ten times coarser, so that every pair always counts. Null features count 0; no pairs give zero weights.
+    One Spark job reduces the pairs to distinct vectors. Up to ``max_vectors`` of them the epochs run on the driver; a larger table stays
+    in Spark, where each epoch is one job that sums the gradient by partitions. Where the epochs run changes nothing but the order of the
+    sums. Null features count 0; no pairs give zero weights.
     """
-    filled = pairs.fillna(0.0, subset=features)
-    grid = GRID
-    while True:
-        stats = sufficient_statistics(filled, features, label, grid)
-        rows = stats.limit(max_vectors + 1).toArrow()
-        if rows.num_rows <= max_vectors:
-            break
-        grid *= 10
-    if not rows.num_rows:
+    scratch = Scratch(pairs.sparkSession, "train")
+    stats = scratch.save(sufficient_statistics(pairs.fillna(0.0, subset=features), features, label), "stats")
+    size = stats.agg(F.count("*").alias("rows"), F.sum("n").alias("total")).first()
+    if not size["rows"]:
         return [0.0] * len(features), 0.0
-    x = np.column_stack([rows.column(f).to_numpy() for f in features]) * grid
-    n, y = rows.column("n").to_numpy().astype(float), rows.column("y").to_numpy()
-    order = np.lexsort(x.T)
-    x, n, y = x[order], n[order], y[order]
-    w, b, total = np.zeros(len(features)), 0.0, n.sum()
+    w, b, total = np.zeros(len(features)), 0.0, float(size["total"])
+    if size["rows"] <= max_vectors:
+        x, n, y = _arrays(stats.toArrow(), features)
+        order = np.lexsort(x.T)
+        x, n, y = x[order], n[order], y[order]
+        gradient = lambda w, b: _gradient(x, n, y, w, b)
+    else:
+        gradient = lambda w, b: _spark_gradient(stats, features, w, b)
     for _ in range(epochs):
-        error = n / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y
-        w -= lr * (x.T @ error) / total
-        b -= lr * error.sum() / total
+        g = gradient(w, b)
+        w = w - lr * g[:-1] / total
+        b -= lr * g[-1] / total
+    scratch.free("stats")
     return w.tolist(), float(b)
 
 
+def _arrays(rows: pa.Table | pa.RecordBatch, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.column_stack([rows.column(f).to_numpy() for f in features]) * GRID
+    return x, rows.column("n").to_numpy().astype(float), rows.column("y").to_numpy()
+
+
+def _gradient(x: np.ndarray, n: np.ndarray, y: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sum of the gradients of all pairs by the weights and, last, the bias."""
+    error = n / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y
+    return np.append(x.T @ error, error.sum())
+
+
+def _spark_gradient(stats: DataFrame, features: list[str], w: np.ndarray, b: float) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(len(features) + 1)
+        for batch in batches:
+            g += _gradient(*_arrays(batch, features), w, b)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([g.tolist()], pa.list_(pa.float64()))], ["part", "g"])
+
+    parts = stats.mapInArrow(run, "part int, g array<double>").collect()
+    return np.sum([r["g"] for r in sorted(parts, key=lambda r: r["part"])], axis=0)
+
+
 def predict(pairs: DataFrame, weights=DEFAULT_WEIGHTS, bias: float = 0.0, threshold: float = 0.5) -> DataFrame:
     return pairs.withColumn("probability", probability(tuple(weights), bias)).withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
 

@@ -22,6 +22,14 @@ def test_training_equals_plain_gradient_descent(spark):
     assert model.from_json(model.to_json(got, bias, ["a", "b"])) == (got, bias)
 
 
+def test_number_of_vectors_does_not_change_the_weights(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(a), float(b), int(a + b > 1)) for a, b in rng.random((200, 2)).round(3)], "a double, b double, label int")
+    w, b = model.train(df, ["a", "b"], epochs=4)
+    large_w, large_b = model.train(df, ["a", "b"], epochs=4, max_vectors=10)
+    assert np.allclose(w, large_w, rtol=1e-12) and np.isclose(b, large_b, rtol=1e-12)
+
+
 def test_metrics_edges(spark):
     ranks = spark.createDataFrame([(1,), (2,), (None,), (9,)], "rank int")
     r = metrics.ranking_metrics(ranks).first()
