@@ -1,7 +1,7 @@
 """Texts cut off by field limits or in transfer, from word trigrams inside texts and at their ends, in SQL expressions only.
 
 Every word is counted with its two predecessors, its line's label and whether the text goes on after it. For the final
-trigram of a text the chance that a text ends there is estimated from the other texts, from the kind of its last sign over
+trigram of a text the chance that a text ends there is estimated from the other texts (equal texts are one), from the kind of its last sign over
 label, word and word pair to the whole trigram. Ends that are frequent inside texts but almost never terminal are cuts; so
 are final words that never stand inside a text but begin a word that does.
 """
@@ -63,8 +63,9 @@ def end_shares(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     from paperloom.runtime import Scratch
 
     scratch = Scratch(spark, "ends")
-    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null")
-    words = scratch.save(own.select("doc_id", _tokens(F.col("t")).alias("ws")), "words").where(F.size("ws") > 0)
+    own = documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_id"), F.col(text).alias("t")).where("t is not null")
+    distinct = own.groupBy("text_id").agg(F.first("t").alias("t"))  # copies of a text are no evidence for its own end
+    words = scratch.save(distinct.select("text_id", _tokens(F.col("t")).alias("ws")), "words").where(F.size("ws") > 0)
     at = lambda i: F.coalesce(F.get(F.col("ws"), i)["w"], F.lit("^"))
     last = F.size("ws") - 1
 
@@ -72,7 +73,7 @@ def end_shares(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         kind = _kind(w)
         return [kind.alias("kind"), F.xxhash64(label, kind).alias("h0"), F.xxhash64(label, w).alias("h1"), F.xxhash64(label, b, w).alias("h2"), F.xxhash64(label, a, b, w).alias("h3")]
 
-    finals = words.select("doc_id", F.get("ws", last)["w"].alias("w"), *keys(F.get("ws", last)["label"], at(last - 2), at(last - 1), at(last)))
+    finals = words.select("text_id", F.get("ws", last)["w"].alias("w"), *keys(F.get("ws", last)["label"], at(last - 2), at(last - 1), at(last)))
     finals = scratch.save(finals, "finals")
 
     shifted = lambda k: F.concat(F.array_repeat(F.lit("^"), k), F.col("ws.w"))
@@ -97,13 +98,15 @@ def end_shares(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     alone = vocabulary.join(asked, "w", "left_semi").select("w", "inside")
     begun = begun.join(alone, "w", "left").select(F.col("w").alias("head"), (F.col("longer") >= LONGER_WORDS * (1 + F.coalesce("inside", F.lit(0)))).alias("begins"))
     scored = scored.withColumn("head", F.substring("w", 1, PREFIX_REACH)).join(begun, "head", "left")
-    return scored.select("doc_id", F.col("w").alias("last_word"), "kind", F.col("p").alias("end_share"), F.col("p_kind").alias("kind_share"), F.coalesce("begins", F.lit(False)).alias("begins_word"))
+    scored = scored.select("text_id", F.col("w").alias("last_word"), "kind", F.col("p").alias("end_share"), F.col("p_kind").alias("kind_share"), F.coalesce("begins", F.lit(False)).alias("begins_word"))
+    return own.select("doc_id", "text_id").join(scored, "text_id").drop("text_id")
 
 
 def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """documents -> end_shares' columns of the texts that were cut within a word or a sentence.
 
-    Null, empty and blank texts are never cut. Every text is judged by all others; equal texts count each. An empty table gives an empty result.
+    Null, empty and blank texts are never cut. Every text is judged by all other texts; equal texts count once and
+    share the verdict. An empty table gives an empty result.
     """
     return end_shares(documents, doc_id, text).where((F.col("end_share") < LEAST_SHARE) | F.col("kind").isin("a", ",") & (F.col("begins_word") | (F.col("kind_share") < LEAST_KIND_SHARE)))
 

@@ -81,3 +81,13 @@ def test_truncation(spark):
     by = {r["source"]: r["n_truncated"] for r in T.truncation_by_source(df).collect()}
     assert sum(by.values()) == len(got) and set(by) == {None, "s"}
     assert T.truncated(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_are_all_found(spark):
+    rng = random.Random(6)
+    nouns = ["lattice", "protocol", "sampler", "boundary"]
+    sentence = lambda: f"The {rng.choice(nouns)} orders every {rng.choice(nouns)} near St. Ives."
+    docs = [(i, " ".join(sentence() for _ in range(rng.randint(4, 9)))) for i in range(400)]
+    docs += [(1000 + i, docs[1][1] + " The sampler orders every zebra near St.") for i in range(3)] + [(2000 + i, docs[2][1]) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in T.truncated(df).collect()) == [1000, 1001, 1002]
