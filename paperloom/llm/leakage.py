@@ -1,8 +1,8 @@
 """Evaluation items standing, whole or in part, in a training corpus.
 
-One Aho-Corasick automaton holds the word trigrams that are peculiar to an item (in at most two items), over normalised
-text: lower case, letters and digits only, single blanks. Every document is scanned once. Where an item has at least two
-anchors near each other, the longest common word sequence of item and passage is measured; the item leaks if it covers
+One Aho-Corasick automaton holds the word trigrams of all items, over normalised text: lower case, letters and digits only,
+single blanks; items of equal normalised text are one. Every document is scanned once. Between trigrams of an item near each
+other (first those of at most two items, then all) the longest common word sequence of item and passage is measured; the item leaks if it covers
 at least ``share`` of the item's words and half that share of the words peculiar to it, so that items cut from one template
 are told apart. Offsets are mapped back to the original text.
 """
@@ -23,6 +23,7 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK_BYTES = 16 << 20
 #: Two anchors of one passage are at most this many item lengths apart, or MIN_GAP words.
 GAP_LENGTHS, MIN_GAP = 1.5, 40
+#: Trigrams of at most so many items are tried first.
 ANCHOR_ITEMS = 2
 #: Words beside the outermost anchors that still belong to the passage.
 MARGIN = 3
@@ -50,7 +51,14 @@ class Detector:
         import ahocorasick
 
         self.share = share
-        self.words = {i: words_of(t) for i, t in items}
+        self.copies: dict[int, list[int]] = {}
+        self.words: dict[int, list[str]] = {}
+        first: dict[tuple[str, ...], int] = {}
+        for i, t in items:
+            ws = words_of(t)
+            one = first.setdefault(tuple(ws), i)
+            self.words[one] = ws
+            self.copies.setdefault(one, []).append(i)
         holders: dict[str, set[int]] = {}
         for i, ws in self.words.items():
             n = min(3, len(ws))
@@ -58,51 +66,58 @@ class Detector:
                 holders.setdefault(f" {' '.join(ws[k : k + n])} ", set()).add(i)
         self.machine = ahocorasick.Automaton()
         for gram, ids in holders.items():
-            if len(ids) <= ANCHOR_ITEMS:
-                self.machine.add_word(gram, (gram.count(" ") - 1, tuple(sorted(ids))))
+            self.machine.add_word(gram, (gram.count(" ") - 1, tuple(sorted(ids))))
         seen: dict[str, int] = {}
         for ws in self.words.values():
             for w in set(ws):
                 seen[w] = seen.get(w, 0) + 1
-        # words of no other item; of a repeated item those of its copies alone
+        # words of no other item; of an item with a near copy those of the two alone
         self.own_words = {i: [w for w in ws if seen[w] == 1] or [w for w in ws if seen[w] <= ANCHOR_ITEMS] for i, ws in self.words.items()}
         self.empty = not len(self.machine)
         if not self.empty:
             self.machine.make_automaton()
 
+    def passage(self, i: int, words: list[str], spots: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+        """(covered share, first word, end word) of the passage around these trigrams that holds most of the item, if that is enough."""
+        item, own = self.words[i], self.own_words[i]
+        gap, best = max(MIN_GAP, GAP_LENGTHS * len(item)), (0.0, 0, 0)
+        first = 0
+        for k in range(1, len(spots) + 1):
+            if k == len(spots) or spots[k][0] - spots[k - 1][1] > gap:
+                a, b = max(0, spots[first][0] - MARGIN), min(len(words), spots[k - 1][1] + MARGIN)
+                if (b - a) / len(item) >= self.share:  # a shorter passage cannot hold enough words
+                    best = max(best, (common_words(item, words[a:b]) / len(item), a, b))
+                first = k
+        if best[0] < self.share or own and common_words(own, words[best[1] : best[2]]) < self.share / 2 * len(own):
+            return None
+        return best
+
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, covered share, first character, end character) of each item the text holds."""
         words = words_of(text)
         if self.empty or not words:
             return []
         plain = f" {' '.join(words)} "
-        hits: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[int, int, bool]]] = {}
         for end, (n, ids) in self.machine.iter(plain):
             for i in ids:
-                hits.setdefault(i, []).append((end, n))
-        out, starts = [], None
+                hits.setdefault(i, []).append((end, n, len(ids) <= ANCHOR_ITEMS))
+        out, starts, places = [], None, None
         for i, ends in hits.items():
-            item = self.words[i]
-            if len(ends) < 2 and len(item) > 5:
-                continue
             if starts is None:  # the word that ends before each blank of the normalised text
                 starts, n = {}, 0
                 for p, c in enumerate(plain):
                     if c == " ":
                         starts[p] = n
                         n += 1
-            spots = [(starts[e] - n, starts[e]) for e, n in ends]
-            gap, best = max(MIN_GAP, GAP_LENGTHS * len(item)), (0.0, 0, 0)
-            first = 0
-            for k in range(1, len(spots) + 1):
-                if k == len(spots) or spots[k][0] - spots[k - 1][1] > gap:
-                    a, b = max(0, spots[first][0] - MARGIN), min(len(words), spots[k - 1][1] + MARGIN)
-                    best = max(best, (common_words(item, words[a:b]) / len(item), a, b))
-                    first = k
-            own = self.own_words[i]
-            if best[0] >= self.share and (not own or common_words(own, words[best[1] : best[2]]) >= self.share / 2 * len(own)):
-                places = [m.span() for m in WORD.finditer(text.lower())]
-                out.append((i, best[0], places[best[1]][0], places[best[2] - 1][1]))
+            rare = [(starts[e] - n, starts[e]) for e, n, few in ends if few]
+            found = self.passage(i, words, rare)
+            if found is None and len(rare) < len(ends):
+                found = self.passage(i, words, [(starts[e] - n, starts[e]) for e, n, _ in ends])
+            if found is not None:
+                covered, a, b = found
+                places = places or [m.span() for m in WORD.finditer(text.lower())]
+                out += [(c, covered, places[a][0], places[b - 1][1]) for c in self.copies[i]]
         return out
 
 
@@ -116,11 +131,12 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     own = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
+    alike = F.xxhash64(F.trim(F.regexp_replace(F.lower("t"), r"(?U)[\W_]+", " ")))  # equal items meet in one block
     docs = spread(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"))
     kind = documents.schema[doc_id].dataType.simpleString()
     result = None
     for b in range(blocks):
-        block = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
+        block = own.where(F.pmod(alike, F.lit(blocks)) == b).orderBy("i").collect()
         known = documents.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,12 @@ def test_copies_of_a_cut_text_are_all_found(spark):
     docs += [(1000 + i, docs[1][1] + " The sampler orders every zebra near St.") for i in range(3)] + [(2000 + i, docs[2][1]) for i in range(200)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in T.truncated(df).collect()) == [1000, 1001, 1002]
+
+
+def test_items_without_words_of_their_own_are_found(spark):
+    words = [f"w{k}" for k in range(100)]
+    again, frame, short = " ".join(words[:20]), " ".join(words[20:40]), " ".join(words[40:47])
+    items = [(1, again), (2, again), (3, again.upper()), (4, frame), (5, frame + " " + " ".join(words[50:58])), (6, frame + " " + " ".join(words[60:68])), (7, short)]
+    docs = [(1, f"x {again} y"), (2, f"x {frame} y"), (3, "x y " + " ".join(words[41:44]) + " z"), (4, "x y " + " ".join(words[41:43]) + " z")]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in K.leaked(d, e).collect()) == [(1, 1), (1, 2), (1, 3), (2, 4), (3, 7)]
