@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, name_variants, sentences, soft_linkage, truncation
+from paperloom.llm.oracles import ORACLES  # noqa: F401
 from paperloom.operators.packed_values import NAMES, unpack
 from paperloom.runtime import Scratch, table
 
@@ -42,7 +43,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.truncated(table(spark, sf, "documents"))
+    cut = truncation.truncated(table(spark, sf, "documents"))
+    return cut.withColumns({c: F.round(c, 9) for c in ("end_share", "kind_share")})
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,4 +90,3 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p8_ids, p9_found, p9_spans, p3_found, p3_sentences, p10_found, p10_truncated, p10_sources, p6_found, p6_authors, p7_found, p7_matches)}
-ORACLES: dict[str, str] = {}

@@ -74,10 +74,11 @@ def test_truncation(spark):
     sentence = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} every {rng.choice(nouns)} near St. Ives."
     docs = [(i, " ".join(sentence() for _ in range(rng.randint(4, 9)))) for i in range(400)]
     docs += [(1000 + i, docs[i][1] + f" The {nouns[i % 4]} orders eve") for i in range(5)] + [(2000 + i, docs[i][1] + " The lattice") for i in range(5)] + [(3000, docs[0][1] + " The sampler orders every lattice near St.")]
+    docs += [(1100 + k, docs[k][1] + f" The lattice{m}") for k, m in enumerate(("…", "...", " [...]", " (…)", "\n[…]"))] + [(1200 + k, docs[k][1] + m) for k, m in enumerate(("\n...", " …"))]
     docs += [(4000 + i, docs[i][1] + "\nKeywords: lattice, sampler") for i in range(30)] + [(5000, None), (5001, ""), (5002, " \n")]
     df = spark.createDataFrame([(i, t, None if i % 2 else "s", 1) for i, t in docs], "doc_id bigint, text string, source string, kind int")
     got = {r["doc_id"] for r in T.truncated(df).collect()}
-    assert got == {*range(1000, 1005), *range(2000, 2005), 3000}
+    assert got == {*range(1000, 1005), *range(1100, 1105), *range(2000, 2005), 3000}
     by = {r["source"]: r["n_truncated"] for r in T.truncation_by_source(df).collect()}
     assert sum(by.values()) == len(got) and set(by) == {None, "s"}
     assert T.truncated(df.limit(0)).count() == 0
