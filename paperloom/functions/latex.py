@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import WORD, arxiv_of, doi_of, year_of
 
 _END = rf"(?![{WORD}])"
-# Layout commands without meaning (fixed values).
-_LAYOUT = (
-    r"\[[htpb]!?\]|\[H\]|\\(?:centering|raggedright|raggedleft|midrule|toprule|bottomrule|hline|noindent|smallskip|medskip|bigskip|vfill|hfill|newpage|clearpage|pagebreak|linebreak)"
-    + _END + r"|\\cline\{[^}]*\}|\\[vh]space\*?\{[^}]*\}|\\\\(?:\[[^\]]*\])?|\\(?:par|indent)" + _END
+def _any(patterns: tuple[str, ...]) -> str:
+    r"""One alternation of the patterns; ``\b`` after a command's name is the end of a word in the sense of Unicode."""
+    return "|".join(p.removesuffix(r"\b") + _END if p.endswith(r"\b") else p for p in patterns)
+
+
+# Commands and signs without meaning, removed before anything else (fixed values).
+LAYOUT = (
+    r"\\centering\b", r"\\raggedright\b", r"\\raggedleft\b", r"\[htpb!?\]", r"\[h!?\]", r"\[t!?\]", r"\[b!?\]", r"\[p!?\]", r"\[H\]", r"\\midrule\b", r"\\toprule\b", r"\\bottomrule\b", r"\\hline\b", r"\\cline\{[^}]*\}",
+    r"\\noindent\b", r"\\smallskip\b", r"\\medskip\b", r"\\bigskip\b", r"\\vspace\*?\{[^}]*\}", r"\\hspace\*?\{[^}]*\}", r"\\vfill\b", r"\\hfill\b", r"\\newpage\b", r"\\clearpage\b", r"\\pagebreak\b", r"\\linebreak\b",
 )
-_LAYOUT_MORE = (
-    r"|\\(?:allowbreak|nopagebreak|strut|null|protect|relax|ignorespaces|unskip|sloppy|fussy)" + _END + r"|\\(?:enlargethispage|phantom|vphantom|hphantom)\{[^}]*\}"
+#: Removed by the standardiser only (fixed values).
+LAYOUT_STANDARD = (r"\\\\(?:\[[^\]]*\])?", r"\\par\b", r"\\indent\b")
+#: Removed by the extractor's clean-up only (fixed values).
+LAYOUT_EXTRACTOR = (
+    r"\\allowbreak\b", r"\\nopagebreak\b", r"\\enlargethispage\{[^}]*\}", r"\\phantom\{[^}]*\}", r"\\vphantom\{[^}]*\}", r"\\hphantom\{[^}]*\}", r"\\strut\b", r"\\null\b", r"\\relax\b", r"\\protect\b", r"\\sloppy\b", r"\\fussy\b",
 )
-_SIZES = r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)" + _END
-_SWITCHES = r"\\(?:bfseries|itshape|rmfamily|sffamily|ttfamily)" + _END
-_WRAPPERS = ("textbf", "textit", "emph", "underline", "texttt", "textrm", "textsf", "textsc")
-_BRACED = ("bf", "it", "em", "tt")
+#: Size commands (fixed values).
+SIZES = (r"\\tiny\b", r"\\scriptsize\b", r"\\footnotesize\b", r"\\small\b", r"\\normalsize\b", r"\\large\b", r"\\Large\b", r"\\LARGE\b", r"\\huge\b", r"\\Huge\b")
+#: Font switches, removed, and font commands, replaced by their argument (fixed values).
+SWITCHES = (r"\\bfseries\b", r"\\itshape\b", r"\\rmfamily\b", r"\\sffamily\b", r"\\ttfamily\b")
+WRAPPERS = ("textbf", "textit", "emph", "underline", "texttt", "textrm", "textsf", "textsc")
+BRACED = ("bf", "it", "em", "tt")
 
 
 def strip(c: Column) -> Column:
@@ -41,12 +51,12 @@ def remove_comments(c: Column) -> Column:
 
 def remove_formatting(c: Column) -> Column:
     """Layout and size commands dropped, font commands replaced by their argument, one kind after another."""
-    c = F.regexp_replace(F.regexp_replace(c, _LAYOUT, ""), _SIZES, "")
-    for name in _WRAPPERS:
+    c = F.regexp_replace(F.regexp_replace(c, _any(LAYOUT + LAYOUT_STANDARD), ""), _any(SIZES), "")
+    for name in WRAPPERS:
         c = F.regexp_replace(c, rf"\\{name}\{{([^}}]*)\}}", "$1")
-    for name in _BRACED:
+    for name in BRACED:
         c = F.regexp_replace(c, rf"(?U)\{{\\{name}\s+([^}}]*)\}}", "$1")
-    return F.regexp_replace(c, _SWITCHES, "")
+    return F.regexp_replace(c, _any(SWITCHES), "")
 
 
 def normalize_math(c: Column) -> Column:
@@ -75,9 +85,18 @@ def standardize(c: Column, comments: bool = True, formatting: bool = True, math:
 
 
 def clean_latex(c: Column) -> Column:
-    """The extractor's own clean-up: more layout commands, comments last."""
-    c = F.regexp_replace(F.regexp_replace(c, _LAYOUT + _LAYOUT_MORE, ""), _SIZES, "")
-    return normalize_whitespace(remove_comments(c))
+    """The extractor's own clean-up: layout commands, then comments, runs of blank lines and of blanks; line ends stay. What only arises when
+    two removed commands meet is left."""
+    c = F.regexp_replace(F.regexp_replace(c, _any(LAYOUT + LAYOUT_EXTRACTOR), ""), r"(?dm)(?<!\\)%.*$", "")
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+
+
+def extractor_math(c: Column) -> Column:
+    r"""The extractor's formulas: ``\(x\)`` and the math environment to ``$x$``, then ``$$x$$`` and last ``\[x\]`` to equation environments."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?s)\\\((.+?)\\\)", r"\$$1\$"), r"(?s)\\begin\{math\}(.+?)\\end\{math\}", r"\$$1\$")
+    block = "\\\\begin{equation}\n$1\n\\\\end{equation}"
+    c = F.regexp_replace(c, r"(?s)\$\$(?:\s+(?=\$\$)|\s*(\S.*?)\s*)\$\$", block)
+    return F.regexp_replace(c, r"(?s)\\\[(?:\s+(?=\\\])|\s*(\S.*?)\s*)\\\]", block)
 
 
 def title_of(c: Column) -> Column:
@@ -128,20 +147,35 @@ def _env(name: str) -> str:
     return rf"(?s)\\begin\{{{name}{star}\}}(.*?)\\end\{{{name}{star}\}}"
 
 
-def outside_references(c: Column) -> Column:
-    """The text without what stands between a reference section's heading and the next section, or its end."""
-    return F.regexp_replace(c, r"(?is)\\section\*?\{[^}]*(?:references|bibliography|works cited|literatur)[^}]*\}.*?(?=\\section|\z)", " ")
+#: What opens a reference section for environments and lists; it lasts to the next section or the text's end (fixed values).
+_REFERENCES = r"(?i:\\section\*?\{(?:References|Bibliography|Works Cited)\}|\\begin\{thebibliography\})"
+_EDGE, _INSIDE = "\ue021", "\ue022"
+
+
+def mark_references(c: Column) -> Column:
+    r"""The text with a mark after every ``\begin{..}`` that stands in a reference section, so that matches can be told by where they begin."""
+    bare = F.regexp_replace(c, f"[{_EDGE}{_INSIDE}]", "")
+    parts = F.split(F.regexp_replace(bare, rf"(?s){_REFERENCES}.*?(?=\\section\*?\{{|\z)", f"{_EDGE}$0{_EDGE}"), _EDGE)
+    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"\\begin\{[^}]*\}", f"$0{_INSIDE}")).otherwise(p))
+    return F.when(c.rlike(_REFERENCES), F.array_join(marked, "")).otherwise(c)
+
+
+def _bodies(c: Column, name: str) -> Column:
+    """What stands between an environment's signs, for those that begin outside reference sections."""
+    found = F.filter(F.regexp_extract_all(c, F.lit(_env(name)), F.lit(1)), lambda b: ~F.startswith(b, F.lit(_INSIDE)))
+    return F.transform(found, lambda b: strip(F.replace(b, F.lit(_INSIDE), F.lit(""))))
 
 
 def environments_of(c: Column) -> Column:
-    """array<struct<kind_idx, type, content, caption, label>>, one environment kind after another; reference sections left out."""
-    c = outside_references(c)
+    """array<struct<kind_idx, type, content, caption, label, full_content>>, one environment kind after another; what begins in a
+    reference section is left out. ``full_content`` keeps the first 500 characters of the body."""
     caption = lambda b: strip(F.regexp_extract(b, r"\\caption\{([^}]*)\}", 1))
 
     def made(n: int, kind: str):
-        return lambda b: F.struct(F.lit(n).alias("kind_idx"), F.lit(kind).alias("type"), F.coalesce(F.nullif(caption(b), F.lit("")), F.substring(b, 1, 200)).alias("content"), caption(b).alias("caption"), F.regexp_extract(b, r"\\label\{([^}]*)\}", 1).alias("label"))
+        return lambda b: F.struct(F.lit(n).alias("kind_idx"), F.lit(kind).alias("type"), F.coalesce(F.nullif(caption(b), F.lit("")), F.substring(b, 1, 200)).alias("content"), caption(b).alias("caption"), F.regexp_extract(b, r"\\label\{([^}]*)\}", 1).alias("label"), F.substring(b, 1, 500).alias("full_content"))
 
-    return F.concat(*[F.transform(F.transform(F.regexp_extract_all(c, F.lit(_env(name)), F.lit(1)), strip), made(n, kind)) for n, (name, kind) in enumerate(ENVIRONMENTS)])
+    every = lambda t: F.concat(*[F.transform(_bodies(t, name), made(n, kind)) for n, (name, kind) in enumerate(ENVIRONMENTS)])
+    return bind(mark_references(c), every)
 
 
 def items_of(body: Column) -> Column:
@@ -151,14 +185,13 @@ def items_of(body: Column) -> Column:
 
 
 def lists_of(c: Column) -> Column:
-    """array<struct<kind_idx, type, items>> of the lists with at least one item."""
-    c = outside_references(c)
+    """array<struct<kind_idx, type, items>> of the lists with at least one item, those in reference sections left out."""
 
     def made(n: int, name: str):
         return lambda b: F.struct(F.lit(n).alias("kind_idx"), F.lit(name).alias("type"), items_of(b).alias("items"))
 
-    bodies = lambda name: F.filter(F.transform(F.regexp_extract_all(c, F.lit(_env(name)), F.lit(1)), strip), lambda b: F.length(b) >= 5)
-    return F.filter(F.concat(*[F.transform(bodies(name), made(n, name)) for n, name in enumerate(LISTS)]), lambda x: F.size(x["items"]) > 0)
+    every = lambda t: F.concat(*[F.transform(F.filter(_bodies(t, name), lambda b: F.length(b) >= 5), made(n, name)) for n, name in enumerate(LISTS)])
+    return F.filter(bind(mark_references(c), every), lambda x: F.size(x["items"]) > 0)
 
 
 def body_text(c: Column) -> Column:
@@ -221,6 +254,7 @@ def bib_entry_of(body: Column) -> Column:
     return F.struct(F.when(dotted, strip(F.get(parts, F.lit(1)))).otherwise(F.lit("")).alias("title"), authors.alias("authors"), F.coalesce(year_of(plain), F.lit("")).alias("year"), F.coalesce(arxiv_of(plain), F.lit("")).alias("arxiv_id"), F.substring(plain, 1, 500).alias("raw_content"))
 
 
+# Journals as they are printed (fixed values).
 _JOURNALS = (r"Physical Review [A-Z]+", r"Phys\.\s*Rev\.\s*[A-Z]+", r"Nature\s*\w*", r"Science\s*\w*", r"Journal of [^,.]+", r"J\.\s*[A-Z][a-z]+\.?\s*[A-Z]?[a-z]*\.?", r"Proceedings of [^,.]+", r"Proc\.\s*[^,.]+", r"IEEE [^,.]+", r"ACM [^,.]+", r"arXiv preprint")
 
 
@@ -267,6 +301,28 @@ def bib_file_entries(c: Column) -> Column:
     return F.transform(found, entry)
 
 
+# The extractor's own headings with their levels, and its environments of displayed formulas (fixed values).
+EXTRACTOR_LEVELS = {"section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
+DISPLAYED = ("equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*", "eqnarray", "eqnarray*", "displaymath", "split", "aligned", "gathered", "cases", "array")
+
+
+def extractor_elements(c: Column) -> Column:
+    """array<struct<type, shown, content, level, label>> of a cleaned text in the extractor's order: title, abstract, headings, figures,
+    displayed formulas. ``shown`` is what an element's identity is taken from."""
+    row = lambda kind, shown, content, level, label=None: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), shown.alias("shown"), content.alias("content"), (F.lit(level) if isinstance(level, int) else level).cast("int").alias("level"), (F.lit("") if label is None else label).alias("label"))
+    label = lambda b: F.regexp_extract(b, r"\\label\{([^}]*)\}", 1)
+    only = lambda kind, found: F.filter(F.transform(found, lambda t: row(kind, clean_latex(t), clean_latex(t), 1)), lambda e: e["content"] != "")
+    title = only("title", F.slice(F.regexp_extract_all(c, F.lit(r"\\title\{([^}]*)\}"), F.lit(1)), 1, 1))
+    abstract = only("abstract", F.slice(F.regexp_extract_all(c, F.lit(r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}"), F.lit(1)), 1, 1))
+    level = lambda t: F.element_at(F.create_map(*[F.lit(x) for pair in EXTRACTOR_LEVELS.items() for x in pair]), t)
+    heads = F.transform(_zipped(c, rf"\\({'|'.join(EXTRACTOR_LEVELS)})\*?\{{([^}}]*)\}}", type=1, title=2), lambda s: row(s["type"], clean_latex(s["title"]), clean_latex(s["title"]), level(s["type"])))
+    caption = lambda b: F.regexp_extract(b, r"\\caption\{([^}]*)\}", 1)
+    figures = F.transform(F.regexp_extract_all(c, F.lit(_env("figure")), F.lit(1)), lambda b: row("figure", F.coalesce(F.nullif(clean_latex(caption(b)), F.lit("")), F.substring(b, 1, 50)), clean_latex(caption(b)), 4, label(b)))
+    made = lambda b: row("equation", F.substring(b, 1, 50), b, 4, label(b))
+    formulas = [F.transform(F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)\\begin\{{{n.replace('*', r'\*')}\}}(.*?)\\end\{{{n.replace('*', r'\*')}\}}"), F.lit(1)), strip), made) for n in DISPLAYED]
+    return F.concat(title, abstract, heads, figures, *formulas)
+
+
 def cited_keys_of(c: Column) -> Column:
     keys = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"\\cite[a-z]*\{([^}]+)\}"), F.lit(1)), lambda k: F.transform(F.split(k, ","), strip)))
     return F.filter(keys, lambda k: k != "")

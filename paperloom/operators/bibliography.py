@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
@@ -27,15 +27,20 @@ def extracted(tex_files: DataFrame, bib_files: DataFrame) -> DataFrame:
 
 
 def flat_elements(docs: DataFrame) -> DataFrame:
-    """(doc, content) -> doc, element_id, type, content, level, caption, label: title, abstract, headings, figures, tables and equations,
-    all directly under the document. Ids are the type and the first eight digits of the content's hash; equal elements count once."""
-    c = F.col("content")
-    row = lambda kind, content, level, caption=None, label=None: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), content.alias("content"), (F.lit(level) if isinstance(level, int) else level).cast("int").alias("level"), (F.lit("") if caption is None else caption).alias("caption"), (F.lit("") if label is None else label).alias("label"))
-    heads = F.transform(L.sections_of(c), lambda s: row(s["type"], s["title"], s["level"] + 1))
-    envs = F.filter(L.environments_of(c), lambda e: e["type"].isin("figure", "table", "equation"))
-    envs = F.transform(envs, lambda e: row(e["type"], e["content"], 1, e["caption"], e["label"]))
-    every = docs.select("doc", F.explode(F.concat(F.array(row("title", L.title_of(c), 1), row("abstract", L.abstract_of(c), 1)), heads, envs)).alias("e")).select("doc", "e.*").where("content <> ''")
-    return every.withColumn("element_id", F.concat("type", F.lit("_"), content_hash(F.col("content"), 8))).dropDuplicates(["doc", "element_id"])
+    """(doc, content) -> doc, element_id, type, content, level, label, parent: the document, its title, abstract, headings, figures and
+    displayed formulas, all directly under the document.
+
+    An id is the type, a running number and the first eight digits of a hash. Elements that show the same are one: it has the id of their first
+    and the values of their last occurrence.
+    """
+    cleaned = docs.select("doc", L.extractor_math(L.clean_latex(F.col("content"))).alias("c"))
+    root = F.struct(F.lit("document").alias("type"), F.lit("document").alias("shown"), F.lit("").alias("content"), F.lit(0).alias("level"), F.lit("").alias("label"))
+    rows = cleaned.select("doc", F.posexplode(F.concat(F.array(root), L.extractor_elements(F.col("c")))).alias("pos", "e")).select("doc", "pos", "e.*").withColumn("h", content_hash(F.col("shown"), 8))
+    ones = rows.groupBy("doc", "h").agg(F.min_by("type", "pos").alias("first_type"), F.min("pos").alias("pos"), F.max_by(F.struct("type", "content", "level", "label"), "pos").alias("s"))
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("pos"))
+    named = ones.withColumn("element_id", F.concat_ws("_", "first_type", n.cast("string"), "h"))
+    root_id = F.format_string("document_1_%s", content_hash(F.lit("document"), 8))
+    return named.select("doc", "element_id", "s.*", F.when(F.col("element_id") != root_id, root_id).alias("parent"))
 
 
 def merged_output(merged: DataFrame, links: DataFrame) -> DataFrame:

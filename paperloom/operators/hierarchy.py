@@ -1,14 +1,17 @@
 """Parent-child rows to full hierarchies by nested-set numbering.
 
-Upward, leaves are peeled level by level and hand their subtree sizes to their parents; what never
-becomes a leaf lies on a cycle. Downward, every placed node gives its children consecutive preorder
-ranges by prefix sums over the siblings' sizes. ``lft``..``rgt`` then holds exactly the node's subtree.
-Each level is one join whose input shrinks with the nodes already placed, and is written to the shared
-folder, so the cost follows the number of nodes and not nodes times depth.
+Upward, every node hands the size of what it has gathered to the node 2^k links above it, so that subtree sizes are whole after
+about log2(depth) rounds; nodes that reach no root when a round brings no node to one are on or beneath a cycle. Downward, siblings get
+consecutive preorder ranges by prefix sums over their sizes, and a node's place is the sum of the offsets on its way up, again gathered in doubling
+steps: nodes of a depth from 2^k to 2^(k+1) are placed in round k. ``lft``..``rgt`` then holds exactly the node's subtree.
+A round reads only nodes still on their way and, downward, those already placed; ids are 64-bit numbers, names are joined once at the end.
+Joins on a hot parent have a unique other side, so that adaptive planning may split them; sums are combined before their shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,100 +31,115 @@ def latest_links(rows: DataFrame, node: str, parent: str, version: Column) -> Da
     return links.groupBy("node_id").agg(F.max("s").alias("s")).select("node_id", F.col("s.parent").alias("parent"))
 
 
-def nested_sets(links: DataFrame) -> DataFrame:
+def nested_sets(links: DataFrame, with_path: bool = True) -> DataFrame:
     """(node_id, parent) with unique node_id -> node_id, parent, root_id, depth, path, lft, rgt, n_descendants, in_cycle.
 
     A parent that is null, empty or unknown makes a root: depth 0, path [node_id], lft 0. On or beneath a
     cycle depth is -1, root_id the smallest node_id of that cycle, in_cycle true for nodes on the cycle, and
-    path, lft, rgt and n_descendants are null. An empty table gives an empty result.
+    path, lft, rgt and n_descendants are null. Without ``with_path`` there is no path column, and its cost, the sum of all depths, is saved.
+    An empty table gives an empty result.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "nested")
-    known = links.select(F.col("node_id").alias("known_id"))
-    base = links.join(known, links["parent"] == known["known_id"], "left").select(
-        "node_id", F.col("known_id").alias("parent"), F.col("parent").alias("given_parent")
-    )
-    base = scratch.save(base, "base")
-
-    # Upward: peel leaves; every step holds only nodes that still wait for children.
-    fan = base.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("n_children"))
-    state = base.select("node_id", "parent").join(fan, F.col("node_id") == F.col("p"), "left").select(
-        "node_id", "parent", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.lit(0).cast("bigint").alias("n_done"), F.lit(1).cast("bigint").alias("size")
-    )
-    sized, step = [], 0
-    path = scratch.write(state.withColumn("ready", F.col("n_children") == 0), f"up{step}", "ready")
-    columns = "node_id string, parent string, n_children bigint, n_done bigint, size bigint"
-    while True:
-        ready = _part(spark, path, "ready=true", columns)
-        if ready is None:
-            break
-        sized.append(f"{path}/ready=true")
-        waiting = _part(spark, path, "ready=false", columns)
-        if waiting is None:
-            break
-        gains = ready.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("d"), F.sum("size").alias("s"))
-        state = waiting.join(gains, F.col("node_id") == F.col("p"), "left").select(
-            "node_id", "parent", "n_children", (F.col("n_done") + F.coalesce("d", F.lit(0))).alias("n_done"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size")
-        )
+    named = scratch.save(links.select("node_id", "parent").withColumn("id", F.monotonically_increasing_id()), "named")
+    known = named.select(F.col("node_id").alias("parent"), F.col("id").alias("pid"))
+    base = named.where("parent is not null").join(known, "parent", "left").select("id", "node_id", "parent", "pid")
+    base = scratch.save(base.unionAll(named.where("parent is null").select("id", "node_id", "parent", F.lit(None).cast("bigint"))), "base")
+
+    # Upward: (id, anc, size), the node 2^k links above and the descendants less than 2^k links below, for nodes at least 2^k below a root.
+    active = scratch.save(base.where("pid is not null").select("id", F.col("pid").alias("anc"), F.lit(1).cast("bigint").alias("size")), "up0")
+    count, step, ups, looping = active.count(), 0, [], None
+    while count:
+        ups.append(active)
+        gains = active.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("gain"))
+        ahead = active.select(F.col("id").alias("anc"), F.col("anc").alias("further"))
+        on = active.join(ahead, "anc").select("id", F.col("further").alias("anc"), "size").join(gains, "id", "left")
         step += 1
-        path = scratch.write(state.withColumn("ready", F.col("n_children") == F.col("n_done")), f"up{step}", "ready")
-    looping = _part(spark, path, "ready=false", columns)
-    cycles = _cycle_labels(looping.select("node_id", "parent"), scratch) if looping is not None else None
+        active = scratch.save(on.select("id", "anc", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), f"up{step}")
+        left = active.count()
+        if left == count:  # nobody reached a root: those of the next depths would have
+            looping = active.select("id", "anc")
+            break
+        count = left
+
+    gathered = reduce(DataFrame.unionAll, [u.select(F.col("anc").alias("id"), "size") for u in ups]) if ups else active.select("id", "size")
+    sizes = gathered.groupBy("id").agg((F.sum("size") + 1).alias("size"))
+    nodes = base.join(sizes, "id", "left").select("id", "node_id", "pid", F.coalesce("size", F.lit(1)).alias("size"))
+    if looping is not None:
+        looping, on_cycle = _cycles(looping, base, scratch)
+        nodes = nodes.join(looping.select("id"), "id", "left_anti")
+    nodes = scratch.save(nodes, "sized")
+    scratch.keep("base", "sized", "looping", "labels")
 
     # Siblings' offsets: prefix sums inside buckets, and over the buckets of a parent.
-    # all levels are read by one scan over their folders
-    nodes = spark.read.schema(columns).parquet(*sized) if sized else spark.createDataFrame([], columns)
-    nodes = nodes.select("node_id", "n_children", "size").join(base, "node_id")
-    nodes = nodes.join(fan.select("p", F.col("n_children").alias("siblings")), nodes["parent"] == F.col("p"), "left").drop("p")
-    bucket = F.pmod(F.xxhash64("node_id"), F.ceil(F.coalesce("siblings", F.lit(1)) / SIBLINGS_PER_TASK)).alias("bucket")
-    nodes = nodes.select("node_id", "parent", "given_parent", "size", bucket)
-    sums = nodes.where("parent is not null").groupBy("parent", "bucket").agg(F.sum("size").alias("b_size"))
-    over_buckets = Window.partitionBy("parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("parent", "bucket", F.coalesce(F.sum("b_size").over(over_buckets), F.lit(0)).alias("b_start"))
-    in_bucket = Window.partitionBy("parent", "bucket").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    inner = nodes.where("parent is not null").withColumn("offset", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    inner = inner.join(sums, ["parent", "bucket"]).select("node_id", "parent", "given_parent", "size", (F.col("offset") + F.col("b_start") + 1).alias("offset"))
-    roots = nodes.where("parent is null").select("node_id", "parent", "given_parent", "size", F.lit(0).cast("bigint").alias("offset"))
-
-    frontier = roots.select(
-        "node_id", "given_parent", "size", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("lft"), F.array("node_id").alias("path"), F.lit(False).alias("in_cycle")
-    )
-    if cycles is not None:
-        on_cycle = cycles.join(base, "node_id").select(
-            "node_id", "given_parent", F.lit(None).cast("bigint").alias("size"), F.col("label").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("bigint").alias("lft"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("in_cycle")
-        )
-        frontier = frontier.unionAll(on_cycle)
-    first = level = scratch.save(frontier, "down0")
-    done: list[str] = []
-    rest = scratch.save(inner, "rest0")
-    rest_columns = "node_id string, parent string, given_parent string, size bigint, offset bigint"
-    joined_columns = rest_columns + ", t_root string, t_depth int, t_lft bigint, t_path array<string>"
-    step = 0
-    while rest is not None:
+    inner = nodes.where("pid is not null")
+    fan = inner.groupBy("pid").agg(F.count("*").alias("siblings"))
+    inner = inner.join(fan, "pid").withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.ceil(F.col("siblings") / SIBLINGS_PER_TASK)))
+    sums = inner.groupBy("pid", "bucket").agg(F.sum("size").alias("b_size"))
+    over_buckets = Window.partitionBy("pid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("pid", "bucket", F.coalesce(F.sum("b_size").over(over_buckets), F.lit(0)).alias("b_start"))
+    in_bucket = Window.partitionBy("pid", "bucket").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = inner.withColumn("offset", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(sums, ["pid", "bucket"])
+
+    # Downward: what is on its way (id, anc, way, the sum of its last 2^k offsets) and what is placed (id, root, depth, lft).
+    own = [F.array("node_id").alias("path")] if with_path else []
+    moving = scratch.save(inner.select("id", F.col("pid").alias("anc"), (F.col("offset") + F.col("b_start") + 1).alias("way"), *own), "way0")
+    roots = nodes.where("pid is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("lft"), *own)
+    placed = scratch.save(roots, "placed0")
+    path_column = ", path array<string>" if with_path else ""
+    steps, reach, step = ["placed0"], 1, 0
+    none = lambda t: F.lit(None).cast(t)
+    while moving is not None and not (step == 0 and moving.isEmpty()):
         step += 1
-        top = level.select(F.col("node_id").alias("t_id"), F.col("root_id").alias("t_root"), F.col("depth").alias("t_depth"), F.col("lft").alias("t_lft"), F.col("path").alias("t_path"))
-        joined = rest.join(top, rest["parent"] == top["t_id"], "left").withColumn("placed", F.col("t_id").isNotNull())
-        path = scratch.write(joined, f"down{step}", "placed")
-        placed = _part(spark, path, "placed=true", joined_columns)
-        if placed is None:
-            break
-        done.append(f"{path}/placed=true")
-        level = _placed(placed)
-        rest = _part(spark, path, "placed=false", rest_columns)
-    result = first.unionAll(_placed(spark.read.schema(joined_columns).parquet(*done))) if done else first
-    tree = F.col("depth") >= 0
-    return result.select(
-        "node_id", F.col("given_parent").alias("parent"), "root_id", "depth", F.when(tree, F.col("path")).alias("path"), F.when(tree, F.col("lft")).alias("lft"),
-        F.when(tree, F.col("lft") + F.col("size") - 1).alias("rgt"), F.when(tree, F.col("size") - 1).alias("n_descendants"), "in_cycle",
+        path = [F.col("path").alias("above")] if with_path else []
+        there = placed.select(F.col("id").alias("anc"), none("bigint").alias("further"), "root", "depth", F.col("lft").alias("sum"), *path)
+        passing = moving.select(F.col("id").alias("anc"), F.col("anc").alias("further"), none("bigint").alias("root"), none("int").alias("depth"), F.col("way").alias("sum"), *path)
+        met = moving.join(there.unionAll(passing), "anc").withColumn("sum", F.col("sum") + F.col("way"))
+        whole = [F.concat("above", "path").alias("path")] if with_path else []
+        met = met.select("id", "further", "root", (F.col("depth") + reach).alias("depth"), "sum", *whole, F.col("root").isNotNull().alias("done"))
+        folder = scratch.write(met, f"down{step}", "done")
+        columns = "id bigint, further bigint, root bigint, depth int, sum bigint" + path_column
+        done, moving = _part(spark, folder, "done=true", columns), _part(spark, folder, "done=false", columns)
+        extra = ["path"] if with_path else []
+        if done is not None:
+            placed = placed.unionAll(done.select("id", "root", "depth", F.col("sum").alias("lft"), *extra))
+            steps.append(f"down{step}")
+        if moving is not None:
+            moving = moving.select("id", F.col("further").alias("anc"), F.col("sum").alias("way"), *extra)
+        reach *= 2
+    scratch.free("way0", *(f"down{n}" for n in range(1, step + 1) if f"down{n}" not in steps))
+
+    extra = ["path"] if with_path else []
+    names = base.join(nodes.select("id", "size"), "id")
+    root_names = nodes.where("pid is null").select(F.col("id").alias("root"), F.col("node_id").alias("root_id"))
+    tree = placed.join(root_names, "root").join(names.select("id", "node_id", "parent", "size"), "id")
+    result = tree.select(
+        "node_id", "parent", "root_id", "depth", *extra, "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("in_cycle")
     )
+    if looping is None:
+        return result
+    circle = looping.join(on_cycle.select(F.col("id").alias("anc"), F.col("label").alias("root_id")), "anc").join(on_cycle.select("id", F.lit(True).alias("on")), "id", "left").join(base, "id")
+    nothing = [none("array<string>").alias("path")] if with_path else []
+    return result.unionAll(circle.select("node_id", "parent", "root_id", F.lit(-1), *nothing, none("bigint"), none("bigint"), none("bigint"), F.coalesce("on", F.lit(False))))
 
 
-def _placed(joined: DataFrame) -> DataFrame:
-    """Nodes with what they take from their parents' places."""
-    return joined.select(
-        "node_id", "given_parent", "size", F.col("t_root").alias("root_id"), F.when(F.col("t_depth") < 0, F.lit(-1)).otherwise(F.col("t_depth") + 1).alias("depth"),
-        (F.col("t_lft") + F.col("offset")).alias("lft"), F.when(F.col("t_path").isNotNull(), F.concat("t_path", F.array("node_id"))).alias("path"), F.lit(False).alias("in_cycle"),
-    )
+def _cycles(looping: DataFrame, base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, anc) of the nodes on or beneath cycles -> the same with an anc on the cycle, and (id, label) of the nodes on cycles.
+
+    Every doubling moves the pointers on; what they point at shrinks until only the cycles are left."""
+    targets, step = looping.select("anc").distinct().count(), 0
+    while True:
+        ahead = looping.select(F.col("id").alias("anc"), F.col("anc").alias("further"))
+        looping = scratch.save(looping.join(ahead, "anc").select("id", F.col("further").alias("anc")), f"loop{step}")
+        left = looping.select("anc").distinct().count()
+        if left == targets:
+            break
+        targets, step = left, step + 1
+    looping = scratch.save(looping, "looping")
+    on = looping.select(F.col("anc").alias("id")).distinct().join(base, "id")
+    links = on.select("node_id", F.col("parent"), "id")
+    labels = _cycle_labels(links.select("node_id", "parent"), scratch)
+    return looping, scratch.save(links.join(labels, "node_id").select("id", "label"), "labels")
 
 
 def _part(spark, path: str, folder: str, schema: str) -> DataFrame | None:

@@ -19,9 +19,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_values(spark, sf).where("n_values > 1").select("entry_id", "field_name", "pos")
 
 
-def _tree(spark: SparkSession, sf: str) -> DataFrame:
+def _tree(spark: SparkSession, sf: str, with_path: bool = True) -> DataFrame:
     nodes = table(spark, sf, "hierarchy_nodes")
-    return nested_sets(latest_links(nodes, "node_id", "parent", F.col("parsed_at")))
+    return nested_sets(latest_links(nodes, "node_id", "parent", F.col("parsed_at")), with_path)
 
 
 def p5_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree(spark, sf).where("depth > 6 or depth = -1").select("node_id", "root_id", "depth")
+    return _tree(spark, sf, with_path=False).where("depth > 6 or depth = -1").select("node_id", "root_id", "depth")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_values, p5_found, p5_hierarchy, p5_descendants)}
@@ -59,6 +59,13 @@ cyclic AS (SELECT w.start_id AS node_id, min(w.node_id) AS root_id FROM walk w J
 
 ORACLES = {
     "p5_found": _P5 + "SELECT node_id, root_id, CAST(depth AS INT) AS depth FROM down WHERE depth > 6 UNION ALL SELECT node_id, root_id, CAST(-1 AS INT) AS depth FROM cyclic",
+    "p5_hierarchy": _P5.rstrip() + """,
+pre AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY string_split(path, '/')) - 1 AS lft FROM down),
+sub AS (SELECT a AS node_id, count(*) AS size FROM (SELECT unnest(string_split(path, '/')) AS a FROM down) x GROUP BY 1)
+SELECT p.node_id, l.given_parent AS parent, p.root_id, CAST(p.depth AS INT) AS depth, p.path, p.lft, p.lft + s.size - 1 AS rgt, s.size - 1 AS n_descendants, false AS in_cycle
+FROM pre p JOIN links l ON l.node_id = p.node_id JOIN sub s ON s.node_id = p.node_id
+UNION ALL
+SELECT c.node_id, l.given_parent, c.root_id, CAST(-1 AS INT), NULL, NULL, NULL, NULL, c.node_id IN (SELECT node_id FROM on_cycle) FROM cyclic c JOIN links l ON l.node_id = c.node_id""",
     "p5_descendants": _P5.rstrip() + """,
 above AS (
   SELECT d.node_id AS descendant_id, l.parent AS node_id, 1 AS steps FROM down d JOIN links l ON l.node_id = d.node_id WHERE l.parent IS NOT NULL

@@ -100,27 +100,6 @@ def first_word_key(spark, sf):
 
 
 # Standardisation
-_WRAP = "".join(f"|{w}" for w in L._WRAPPERS)[1:]
-
-
-def _std_sql() -> str:
-    layout = (
-        r"\[[htpb]!?\]|\[H\]|\\(?:centering|raggedright|raggedleft|midrule|toprule|bottomrule|hline|noindent|smallskip|medskip|bigskip|vfill|hfill|newpage|clearpage|pagebreak|linebreak)\b|\\cline\{[^}]*\}|\\[vh]space\*?\{[^}]*\}|\\\\(?:\[[^\]]*\])?|\\(?:par|indent)\b"
-    )
-    s = f"regexp_replace(coalesce(text,''), '{layout}', '', 'g')"
-    s = rf"regexp_replace({s}, '\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)\b', '', 'g')"
-    for w in L._WRAPPERS:
-        s = rf"regexp_replace({s}, '\\{w}\{{([^}}]*)\}}', '\1', 'g')"
-    for w in L._BRACED:
-        s = rf"regexp_replace({s}, '\{{\\{w}\s+([^}}]*)\}}', '\1', 'g')"
-    return rf"regexp_replace({s}, '\\(?:bfseries|itshape|rmfamily|sffamily|ttfamily)\b', '', 'g')"
-
-
-@query(f"SELECT doc_id, {_std_sql()} AS out FROM documents")
-def std_formatting(spark, sf):
-    return _docs(spark, sf).select("doc_id", L.remove_formatting(F.col("text")).alias("out"))
-
-
 @query(r"SELECT doc_id, regexp_replace(coalesce(text,''), '\\cite(?:p|t|author|year)\{([^}]+)\}', '\\cite{\1}', 'g') AS out FROM documents")
 def std_citations(spark, sf):
     return _docs(spark, sf).select("doc_id", L.normalize_citations(F.col("text")).alias("out"))
@@ -143,6 +122,73 @@ def _plain(spark, sf) -> DataFrame:
 _PLAIN_SQL = f"(SELECT entry_id, pub_id, bib_key, trim(regexp_replace({_PLAIN}, ' +', ' ', 'g'), ' ') AS t FROM {_BIB})"
 
 
+# What the standardiser removes, as DuckDB writes it (fixed values).
+_STD_LAYOUT = (
+    r"\\centering\b|\\raggedright\b|\\raggedleft\b|\[htpb!?\]|\[h!?\]|\[t!?\]|\[b!?\]|\[p!?\]|\[H\]|\\midrule\b|\\toprule\b|\\bottomrule\b|\\hline\b|\\cline\{[^}]*\}|\\noindent\b|\\smallskip\b|\\medskip\b|\\bigskip\b"
+    r"|\\vspace\*?\{[^}]*\}|\\hspace\*?\{[^}]*\}|\\vfill\b|\\hfill\b|\\newpage\b|\\clearpage\b|\\pagebreak\b|\\linebreak\b|\\\\(?:\[[^\]]*\])?|\\par\b|\\indent\b"
+)
+_STD_SIZES = r"\\tiny\b|\\scriptsize\b|\\footnotesize\b|\\small\b|\\normalsize\b|\\large\b|\\Large\b|\\LARGE\b|\\huge\b|\\Huge\b"
+_STD_FONTS = (
+    (r"\\textbf\{([^}]*)\}", r"\1"), (r"\\textit\{([^}]*)\}", r"\1"), (r"\\emph\{([^}]*)\}", r"\1"), (r"\\underline\{([^}]*)\}", r"\1"), (r"\\texttt\{([^}]*)\}", r"\1"), (r"\\textrm\{([^}]*)\}", r"\1"), (r"\\textsf\{([^}]*)\}", r"\1"),
+    (r"\\textsc\{([^}]*)\}", r"\1"), (r"\{\\bf\s+([^}]*)\}", r"\1"), (r"\{\\it\s+([^}]*)\}", r"\1"), (r"\{\\em\s+([^}]*)\}", r"\1"), (r"\{\\tt\s+([^}]*)\}", r"\1"),
+    (r"\\bfseries\b", ""), (r"\\itshape\b", ""), (r"\\rmfamily\b", ""), (r"\\sffamily\b", ""), (r"\\ttfamily\b", ""),
+)
+
+
+def _std_sql() -> str:
+    s = f"regexp_replace(regexp_replace(coalesce(text,''), '{_STD_LAYOUT}', '', 'g'), '{_STD_SIZES}', '', 'g')"
+    for pattern, left in _STD_FONTS:
+        s = f"regexp_replace({s}, '{pattern}', '{left}', 'g')"
+    return s
+
+
+@query(f"SELECT doc_id, {_std_sql()} AS out FROM documents")
+def std_formatting(spark, sf):
+    return _docs(spark, sf).select("doc_id", L.remove_formatting(F.col("text")).alias("out"))
+
+
+# One case per pattern: what is written after a title, and what is left of it.
+_BOTH_CASES = [(w, "") for w in r"\centering \raggedright \raggedleft [htpb] [htpb!] [h] [h!] [t] [t!] [b] [b!] [p] [p!] [H] \midrule \toprule \bottomrule \hline \cline{1-2} \noindent \smallskip \medskip \bigskip \vspace{1em} \vspace*{1em} \hspace{2pt} \hspace*{2pt} \vfill \hfill \newpage \clearpage \pagebreak \linebreak".split()]
+_BOTH_CASES += [(w, w) for w in r"[hb] [h!t] [tb] \centeringx \hlines \cline \vspacex{1}".split()]
+_STD_CASES = [
+    *_BOTH_CASES, *[(w, "") for w in r"\\ \\[2pt] \par \indent \tiny \scriptsize \footnotesize \small \normalsize \large \Large \LARGE \huge \Huge \bfseries \itshape \rmfamily \sffamily \ttfamily".split()],
+    *[(f"\\{n}{{some words}}", "some words") for n in "textbf textit emph underline texttt textrm textsf textsc".split()], *[(f"{{\\{n} some words}}", "some words") for n in "bf it em tt".split()],
+    *[(w, w) for w in r"\parx \largest \sloppy \strut \phantom{x} \textup{x} {\sl x}".split(" ")],
+]
+_EXTRACTOR_CASES = [
+    *_BOTH_CASES, *[(w, "") for w in r"\allowbreak \nopagebreak \enlargethispage{1pt} \phantom{x} \vphantom{x} \hphantom{x} \strut \null \relax \protect \sloppy \fussy".split()],
+    *[(w, w) for w in r"\\ \\[2pt] \par \indent \large \tiny \ignorespaces \unskip \textbf{x} \bfseries".split()],
+]
+
+
+def _cases_sql(cases: list[tuple[str, str]], shape: str) -> str:
+    values = ", ".join(f"({i}, '{left}')" for i, (_, left) in enumerate(cases))
+    return f"SELECT entry_id, n, {shape} AS out FROM {_PLAIN_SQL} CROSS JOIN (VALUES {values}) v(n, x) WHERE t <> ''"
+
+
+def _cases(spark, sf, cases: list[tuple[str, str]], shape) -> DataFrame:
+    rows = _plain(spark, sf).where("t <> ''").select("entry_id", "t", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(w).alias("w")) for i, (w, _) in enumerate(cases)])).alias("c"))
+    return rows.select("entry_id", "c.n", shape(F.col("t"), F.col("c.w")).alias("made"))
+
+
+@query(_cases_sql(_STD_CASES, "t || ' ' || x || ' end'"))
+def std_patterns_rt(spark, sf):
+    rows = _cases(spark, sf, _STD_CASES, lambda t, w: F.concat(t, F.lit(" "), w, F.lit(" end")))
+    return rows.select("entry_id", "n", L.remove_formatting(F.col("made")).alias("out"))
+
+
+@query(_cases_sql(_EXTRACTOR_CASES, r"t || ' ' || CASE WHEN x = '' THEN '' ELSE x || ' ' END || 'end ' || chr(10) || chr(10) || 'last'"))
+def clean_latex_rt(spark, sf):
+    rows = _cases(spark, sf, _EXTRACTOR_CASES, lambda t, w: F.concat(F.lit("  "), t, F.lit(" \t "), w, F.lit("  end % gone\n\n\n\nlast% gone")))
+    return rows.select("entry_id", "n", L.clean_latex(F.col("made")).alias("out"))
+
+
+@query(f"SELECT entry_id, 'a $' || t || '$ b $' || t || '$ c \\begin{{equation}}' || chr(10) || t || chr(10) || '\\end{{equation}} d \\begin{{equation}}' || chr(10) || t || chr(10) || '\\end{{equation}}' AS out FROM {_PLAIN_SQL} WHERE t <> ''")
+def extractor_math_rt(spark, sf):
+    made = F.concat(F.lit(r"a \("), "t", F.lit(r"\) b \begin{math}"), "t", F.lit("\\end{math} c $$ "), "t", F.lit("\n$$ d \\[ "), "t", F.lit(r" \]"))
+    return _plain(spark, sf).where("t <> ''").select("entry_id", L.extractor_math(made).alias("out"))
+
+
 @query(f"SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN t || ' ' ELSE t || ' \\% kept' END AS out FROM {_PLAIN_SQL}")
 def std_comments_rt(spark, sf):
     made = F.concat("t", F.when(F.col("entry_id") % 2 == 0, F.lit(" % dropped")).otherwise(F.lit(r" \% kept")))
@@ -165,12 +211,6 @@ def standardize_rt(spark, sf):
     return _plain(spark, sf).where("t <> ''").select("entry_id", L.standardize(made).alias("out"))
 
 
-@query(f"SELECT entry_id, t AS out FROM {_PLAIN_SQL} WHERE t <> ''")
-def clean_latex_rt(spark, sf):
-    made = F.concat(F.lit("\\sloppy \\vphantom{x}\\large "), "t", F.lit("\\allowbreak % end"))
-    return _plain(spark, sf).where("t <> ''").select("entry_id", L.clean_latex(made).alias("out"))
-
-
 # Bibliography
 @query(f"SELECT pub_id, bib_key, t AS body FROM (SELECT pub_id, bib_key, max(t) AS t FROM {_PLAIN_SQL} GROUP BY 1,2)")
 def bibitem_scan_rt(spark, sf):
@@ -242,9 +282,9 @@ k AS (SELECT * FROM f WHERE NOT skip)
 """
 
 
-@query(_HEADS + "SELECT doc, pos, type, level, title FROM h")
+@query(_HEADS + "SELECT doc, pos, type, level, title, ' We describe entry ' || entry_id || ' in detail. It is e.g. short.' || chr(10) AS body FROM h")
 def sections_rt(spark, sf):
-    return tree.sections(_tex_docs(spark, sf)).select("doc", "pos", "type", "level", "title")
+    return tree.sections(_tex_docs(spark, sf)).select("doc", "pos", "type", "level", "title", "body")
 
 
 @query(_HEADS + "SELECT doc, pos, skip FROM f")
@@ -272,16 +312,27 @@ def title_abstract_rt(spark, sf):
     return _plain(spark, sf).where("t <> ''").select("entry_id", L.title_of(made).alias("title"), L.abstract_of(made).alias("abstract"))
 
 
-@query(f"SELECT entry_id, 'equation' AS type, t AS content, '' AS label FROM {_PLAIN_SQL} WHERE t <> '' UNION ALL SELECT entry_id, 'figure', t, 'f1' FROM {_PLAIN_SQL} WHERE t <> '' UNION ALL SELECT entry_id, 'theorem', 'Thm ' || t, '' FROM {_PLAIN_SQL} WHERE t <> ''")
+_KINDS = ", ".join(f"({n}, '{env}', '{kind}')" for n, (env, kind) in enumerate((("equation*", "equation"), ("align", "equation"), ("gather*", "equation"), ("multline", "equation"), ("eqnarray", "equation"), ("figure*", "figure"), ("table", "table"), ("theorem", "theorem"), ("lemma", "lemma"), ("proof", "proof"), ("algorithm", "algorithm"))))
+
+
+@query(f"""SELECT entry_id, kind AS type, CASE WHEN kind IN ('figure', 'table') THEN 'Cap ' || t ELSE env || ' of ' || t END AS content, CASE WHEN kind IN ('figure', 'table') THEN 'Cap ' || t ELSE '' END AS caption,
+ CASE WHEN kind IN ('figure', 'table') THEN 'l:' || n ELSE '' END AS label, env || ' of ' || t || CASE WHEN kind IN ('figure', 'table') THEN ' \\caption{{ Cap ' || t || ' }}\\label{{l:' || n || '}}' ELSE '' END AS full_content
+FROM {_PLAIN_SQL} CROSS JOIN (VALUES {_KINDS}) v(n, env, kind) WHERE t <> ''
+UNION ALL SELECT entry_id, 'lemma', 'Kept ' || t, '', '', 'Kept ' || t FROM {_PLAIN_SQL} WHERE t <> ''""")
 def environments_rt(spark, sf):
-    made = F.concat(F.lit("\\begin{figure*}[h]\n x \\caption{"), "t", F.lit("}\\label{f1}\\end{figure*}\n\\begin{theorem}\nThm "), "t", F.lit("\n\\end{theorem}\\begin{equation*} "), "t", F.lit(" \\end{equation*}\\section{References}\\begin{equation}no\\end{equation}"))
-    return _plain(spark, sf).where("t <> ''").select("entry_id", F.explode(L.environments_of(made)).alias("e")).select("entry_id", "e.type", "e.content", "e.label")
+    """Every kind once below a section whose title only contains a reference word, then some in reference sections, one of them kept as it
+    stands after the next section."""
+    one = lambda env, n, cap: F.concat(F.lit(f"\\begin{{{env}}}\n{env} of "), "t", *([F.lit(" \\caption{ Cap "), "t", F.lit(f" }}\\label{{l:{n}}}")] if cap else []), F.lit(f"\n\\end{{{env}}} text\n"))
+    envs = [one(env, n, env.strip("*") in ("figure", "table")) for n, env in enumerate("equation* align gather* multline eqnarray figure* table theorem lemma proof algorithm".split())]
+    lost = F.lit("\\begin{figure}no\\end{figure}\\begin{theorem}no\\end{theorem}")
+    made = F.concat(F.lit("\\section{User preferences}"), *envs, F.lit("\\section*{REFERENCES}"), lost, F.lit("\\subsection{Sub}"), lost, F.lit("\\section{After}\\begin{lemma}Kept "), "t", F.lit("\\end{lemma}\\begin{thebibliography}{9}"), lost, F.lit("\\end{thebibliography}"), lost)
+    return _plain(spark, sf).where("t <> ''").select("entry_id", F.explode(L.environments_of(made)).alias("e")).select("entry_id", "e.type", "e.content", "e.caption", "e.label", "e.full_content")
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY pub_id ORDER BY entry_id) AS n FROM {_PLAIN_SQL}) SELECT pub_id AS doc, n::INT AS item, 'item ' || entry_id AS content FROM r")
 def lists_rt(spark, sf):
     rows = _plain(spark, sf).groupBy(F.col("pub_id").alias("doc")).agg(F.array_sort(F.collect_list("entry_id")).alias("e"))
-    made = F.concat(F.lit("\\begin{itemize}\n"), F.array_join(F.transform("e", lambda x: F.concat(F.lit("\\item[*] item\n"), x.cast("string"), F.lit("\n"))), ""), F.lit("\\end{itemize}"))
+    made = F.concat(F.lit("\\begin{enumerate}tiny\\end{enumerate}\\section{Preferences}\\begin{itemize}\n"), F.array_join(F.transform("e", lambda x: F.concat(F.lit("\\item[*] item\n"), x.cast("string"), F.lit("\n"))), ""), F.lit("\\end{itemize}\\begin{thebibliography}{9}\\begin{itemize}\\item never seen\\end{itemize}\\end{thebibliography}"))
     return rows.select("doc", F.explode(L.lists_of(made)).alias("l")).select("doc", F.posexplode("l.items").alias("i", "content")).select("doc", (F.col("i") + 1).alias("item"), "content")
 
 
@@ -441,7 +492,21 @@ def bibliography_union_rt(spark, sf):
 
 @query()
 def flat_elements(spark, sf):
-    return bibliography.flat_elements(_latex(spark, sf)).select("doc", "element_id", "type", "content", "level", "caption", "label")
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    return bibliography.flat_elements(d).select("doc", "element_id", "type", "content", "level", "label", "parent")
+
+
+_FLAT = [("document", "'document'", "''", 0, "''"), ("title", "'T ' || t", "'T ' || t", 1, "''"), ("abstract", "'Abs ' || t", "'Abs ' || t", 1, "''"), ("section", "'S ' || t", "'S ' || t", 2, "''"), ("subparagraph", "'P ' || t", "'P ' || t", 6, "''"),
+         ("figure", "'F ' || t", "'F ' || t", 4, "'f:1'"), ("figure", "'plain'", "''", 4, "''"), ("equation", "substr('E ' || t || '\\label{e:1}', 1, 50)", "'E ' || t || '\\label{e:1}'", 4, "'e:1'"), ("equation", "substr('D ' || t, 1, 50)", "'D ' || t", 4, "''"), ("equation", "substr('C ' || t, 1, 50)", "'C ' || t", 4, "''")]
+
+
+@query("SELECT entry_id AS doc, element_id, type, content, level, label, CASE WHEN n > 1 THEN 'document_1_' || substr(md5('document'), 1, 8) END AS parent FROM (" + " UNION ALL ".join(
+    f"SELECT entry_id, {n} AS n, '{kind}_{n}_' || substr(md5({shown}), 1, 8) AS element_id, '{kind}' AS type, {content} AS content, {level} AS level, {label} AS label FROM {_PLAIN_SQL} WHERE t <> ''" for n, (kind, shown, content, level, label) in enumerate(_FLAT, 1)) + ")")
+def flat_elements_rt(spark, sf):
+    made = F.concat(F.lit("\\title{T "), "t", F.lit("}\n\\begin{abstract} Abs\t"), "t", F.lit("\n\\end{abstract}\\section*{S \\hfill"), "t", F.lit("}\\subparagraph{P "), "t", F.lit("}\\section{S "), "t", F.lit("}\n\\begin{figure}[h]\\caption{F "), "t",
+                    F.lit("}\\label{f:1}\\end{figure}\\begin{figure}plain\\end{figure}\\begin{align} E "), "t", F.lit("\\label{e:1}\\end{align}\\begin{displaymath}D "), "t", F.lit("\\end{displaymath}\\begin{cases}C "), "t", F.lit("\\end{cases} % gone"))
+    docs = _plain(spark, sf).where("t <> ''").select(F.col("entry_id").alias("doc"), F.regexp_replace(made, r"\\hfill", r"\\hfill ").alias("content"))
+    return bibliography.flat_elements(docs).select("doc", "element_id", "type", "content", "level", "label", "parent")
 
 
 @query()

@@ -15,10 +15,13 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, a local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder. Only where both are unset and the
+    master is local (tests) a folder of this machine; on a cluster that is an error, as executors would each write to their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         already = spark.sparkContext.getCheckpointDir()
+        if not already and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = already or "file://" + tempfile.mkdtemp(prefix="paperloom-")
         if not already:
             spark.sparkContext.setCheckpointDir(folder)
@@ -56,10 +59,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex[:12]}"
+        self.steps: set[str] = set()
         _TABLES.append((spark, self.root))
 
     def write(self, df: DataFrame, step: str, partition_by: str | None = None) -> str:
         path = f"{self.root}/{step}"
+        self.steps.add(step)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
@@ -70,8 +75,13 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, step))
 
-    def free(self, step: str) -> None:
-        _drop(self.spark, f"{self.root}/{step}")
+    def free(self, *steps: str) -> None:
+        for step in steps:
+            _drop(self.spark, f"{self.root}/{step}")
+            self.steps.discard(step)
+
+    def keep(self, *steps: str) -> None:
+        self.free(*(self.steps - set(steps)))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,10 +98,12 @@ def tables_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def maybe_broadcast(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
-    """Broadcast hint only while the estimate (for a written table its compressed size) stays under the limit; beyond it a
-    shuffle join is planned."""
-    return F.broadcast(df) if tables_bytes(df) <= limit_bytes else df
+def maybe_broadcast(df: DataFrame, limit_rows: int = 200_000, row_bytes: int = 64) -> DataFrame:
+    """Broadcast hint for a written table only while it has at most ``limit_rows`` rows (read from its footers) and, decoded, about
+    ``row_bytes`` each; beyond it a shuffle join is planned. The hash table stays under some 30 MB, whatever the compression."""
+    if tables_bytes(df) > limit_rows * row_bytes:
+        return df
+    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
 
 
 def struct_of(*fields: tuple[str, T.DataType]) -> T.StructType:

@@ -69,3 +69,14 @@ def test_latest_and_descendants(spark):
     assert {tuple(r) for r in links.collect()} == {("a", None), ("b", "a"), ("c", "b")}
     pairs = descendant_pairs(nested_sets(links))
     assert {tuple(r) for r in pairs.collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_long_chain(spark):
+    """A chain of 100,000 nodes takes about log2 of its length in rounds; a long tail beneath a cycle too."""
+    chain = spark.range(100_000).selectExpr("printf('%06d', id) AS node_id", "CASE WHEN id > 0 THEN printf('%06d', id - 1) END AS parent")
+    tail = spark.range(3000).selectExpr("printf('t%05d', id) AS node_id", "CASE WHEN id = 0 THEN 't00002' ELSE printf('t%05d', id - 1) END AS parent")
+    rows = nested_sets(chain.unionAll(tail), with_path=False)
+    assert rows.where("depth >= 0 and (depth <> int(node_id) or lft <> depth or rgt <> 99999 or root_id <> '000000')").count() == 0
+    got = rows.where("depth = -1").groupBy("in_cycle", "root_id").count().collect()
+    assert sorted((r["in_cycle"], r["root_id"], r["count"]) for r in got) == [(False, "t00000", 2997), (True, "t00000", 3)]
+    assert rows.count() == 103_000
