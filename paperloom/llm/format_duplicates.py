@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.runtime import Scratch
+
 _VALUE = r"(?:\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|\"[^\"]*\"|[\p{L}\p{N}]+)"
 _FIELD = rf"(?sU)\p{{L}}[\p{{L}}_\s-]*=\s*{_VALUE}"
 _GROUP_WORD = r"\p{L}{3,} collaboration"
@@ -34,12 +36,17 @@ def _joined(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?<=[0-9])[^\p{L}\p{N}]+(?=[0-9])", "|"), r"[^\p{L}\p{N}|]+", "")
 
 
+#: Letters and digits whose numbers make the histogram; any choice is right, common ones tell most apart.
+COUNTED = "etaoinsrlcd0123456789"
+
+
 def cheap_invariants(content: Column, keys: Column) -> Column:
-    """64-bit hash of stripped length and letter histograms of content and keys; equal for equal records."""
+    """64-bit hash of the stripped length and the numbers of single letters and digits, together with the letters of the keys; equal for
+    equal records."""
     letters = _letters(content)
-    histogram = F.array_join(F.array_sort(F.split(letters, "")), "")
+    numbers = [F.length(F.replace(letters, F.lit(c))) for c in COUNTED]
     key_letters = F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce(keys, F.array().cast("array<string>")), _letters))), " ")
-    return F.xxhash64(F.length(letters), histogram, key_letters)
+    return F.xxhash64(F.length(letters), *numbers, key_letters)
 
 
 def canonical_record(content: Column) -> Column:
@@ -70,12 +77,14 @@ def record_classes(rows: DataFrame, record_id: str, content: str, keys: str) ->
     Re-delivered rows (equal id) count once. Records whose content is null or has no letter or digit, and records alike to no
     other, are classes of their own with n_copies 1; rows with a null id are dropped. An empty table gives an empty result.
     """
+    scratch = Scratch(rows.sparkSession, "records")
     own = rows.select(F.col(record_id).alias("rid"), F.col(content).alias("text"), F.col(keys).alias("ks")).where("rid is not null")
     filled = own.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    cheap = filled.withColumn("k1", cheap_invariants(F.col("text"), F.col("ks")))
+    cheap = scratch.save(filled.select("rid", "text", cheap_invariants(F.col("text"), F.col("ks")).alias("k1")), "cheap")
     shared = cheap.groupBy("k1").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("k1")
-    costly = cheap.join(shared, "k1", "left_semi").select("rid", "k1", F.md5(canonical_record(F.col("text"))).alias("k2")).distinct()
-    classes = costly.groupBy("k1", "k2").agg(F.min("rid").alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    costly = scratch.save(cheap.join(shared, "k1", "left_semi").select("rid", "k1", F.md5(canonical_record(F.col("text"))).alias("k2")), "costly")
+    scratch.free("cheap")
+    classes = costly.groupBy("k1", "k2", "rid").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.min("rid").alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
     members = costly.join(classes, ["k1", "k2"]).select("rid", "class_id", "n_copies")
     everyone = own.select("rid").distinct()
     # an id delivered with two contents may stand in two classes: the smallest counts
@@ -84,10 +93,10 @@ def record_classes(rows: DataFrame, record_id: str, content: str, keys: str) ->
 
 
 def class_pairs(classes: DataFrame, record_id: str, left: str, right: str) -> DataFrame:
-    """All pairs left < right inside each class. Large classes are cut into blocks and every pair of blocks is a key of its
-    own, so no task pairs more than PAIR_BLOCK x PAIR_BLOCK records."""
+    """All pairs left < right inside each class. Large classes are cut into blocks and every pair of blocks is formed once, as a key of
+    its own, so no task pairs more than PAIR_BLOCK x PAIR_BLOCK records."""
     own = classes.where("n_copies > 1").withColumn("blocks", F.ceil(F.col("n_copies") / PAIR_BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64(record_id), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = own.select("class_id", F.col(record_id).alias(left), F.col("b").alias("ba"), others.alias("bb"))
-    b = own.select("class_id", F.col(record_id).alias(right), F.col("b").alias("bb"), others.alias("ba"))
-    return a.join(b, ["class_id", "ba", "bb"]).where(F.col(left) < F.col(right)).select(left, right)
+    a = own.select("class_id", F.col(record_id).alias("_a"), F.col("b").alias("ba"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("bb"))
+    b = own.select("class_id", F.col(record_id).alias("_b"), F.col("b").alias("bb"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("ba"))
+    pairs = a.join(b, ["class_id", "ba", "bb"]).where((F.col("_a") < F.col("_b")) | (F.col("ba") < F.col("bb")) & (F.col("_a") != F.col("_b")))
+    return pairs.select(F.least("_a", "_b").alias(left), F.greatest("_a", "_b").alias(right))

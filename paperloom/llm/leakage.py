@@ -1,24 +1,31 @@
 """Evaluation items standing, whole or in part, in a training corpus.
 
 One Aho-Corasick automaton holds the word trigrams of all items, over normalised text: lower case, letters and digits only,
-single blanks; items of equal normalised text are one. Every document is scanned once. Between trigrams of an item near each
-other (first those of at most two items, then all) the longest common word sequence of item and passage is measured; the item leaks if it covers
-at least ``share`` of the item's words and half that share of the words peculiar to it, so that items cut from one template
-are told apart. Offsets are mapped back to the original text.
+single blanks, and one word per sign in scripts written without blanks; items of equal normalised text are one. Every document is scanned once.
+Between trigrams of an item near each other (first those of at most two items, then all) the longest common word sequence of item and passage is
+measured; the item leaks if it covers at least ``share`` of the item's words and half that share of the words peculiar to it, so that items cut
+from one template are told apart. How many items hold a trigram or a word is counted over all items before they are cut into blocks. Offsets
+are those of the original text, whatever lower case does to its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.spread import spread
+from paperloom.runtime import Scratch
 
+# Signs of scripts written without blanks (fixed values): Thai, Han, Kana and their extensions.
+_SINGLE = "\u0e00-\u0e7f\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
 WORD = re.compile(r"[^\W_]+")
+HAS_SINGLE = re.compile(f"[{_SINGLE}]")
+SINGLE_OR_WORD = re.compile(f"[{_SINGLE}]|(?:(?![{_SINGLE}])[^\\W_])+")
 #: Items whose texts together take about this many bytes share one automaton (and one broadcast); more items make more scans.
 BLOCK_BYTES = 16 << 20
 #: Two anchors of one passage are at most this many item lengths apart, or MIN_GAP words.
@@ -29,8 +36,19 @@ ANCHOR_ITEMS = 2
 MARGIN = 3
 
 
+def words_in(text: str) -> Iterator[re.Match]:
+    """The words of a text where they stand."""
+    return (SINGLE_OR_WORD if HAS_SINGLE.search(text) else WORD).finditer(text)
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [m.group().lower() for m in words_in(text)]
+
+
+def grams_of(words: list[str]) -> list[str]:
+    """The different trigrams of an item, the whole item if it is shorter, as they stand in normalised text."""
+    n = min(3, len(words))
+    return list(dict.fromkeys(f" {' '.join(words[k : k + n])} " for k in range(len(words) - n + 1))) if words else []
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -46,40 +64,35 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+class Item(NamedTuple):
+    ids: list[int]
+    words: list[str]
+    own_words: list[str]
+    rare: list[str]
+
+
 class Detector:
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    """Finds items of one block; what is peculiar to an item was settled over all blocks."""
+
+    def __init__(self, items: list[Item], share: float) -> None:
         import ahocorasick
 
-        self.share = share
-        self.copies: dict[int, list[int]] = {}
-        self.words: dict[int, list[str]] = {}
-        first: dict[tuple[str, ...], int] = {}
-        for i, t in items:
-            ws = words_of(t)
-            one = first.setdefault(tuple(ws), i)
-            self.words[one] = ws
-            self.copies.setdefault(one, []).append(i)
-        holders: dict[str, set[int]] = {}
-        for i, ws in self.words.items():
-            n = min(3, len(ws))
-            for k in range(len(ws) - n + 1 if ws else 0):
-                holders.setdefault(f" {' '.join(ws[k : k + n])} ", set()).add(i)
+        self.share, self.items = share, items
+        holders: dict[str, list[tuple[int, bool]]] = {}
+        for i, item in enumerate(items):
+            rare = set(item.rare)
+            for gram in grams_of(item.words):
+                holders.setdefault(gram, []).append((i, gram in rare))
         self.machine = ahocorasick.Automaton()
         for gram, ids in holders.items():
-            self.machine.add_word(gram, (gram.count(" ") - 1, tuple(sorted(ids))))
-        seen: dict[str, int] = {}
-        for ws in self.words.values():
-            for w in set(ws):
-                seen[w] = seen.get(w, 0) + 1
-        # words of no other item; of an item with a near copy those of the two alone
-        self.own_words = {i: [w for w in ws if seen[w] == 1] or [w for w in ws if seen[w] <= ANCHOR_ITEMS] for i, ws in self.words.items()}
+            self.machine.add_word(gram, (gram.count(" ") - 1, tuple(ids)))
         self.empty = not len(self.machine)
         if not self.empty:
             self.machine.make_automaton()
 
     def passage(self, i: int, words: list[str], spots: list[tuple[int, int]]) -> tuple[float, int, int] | None:
         """(covered share, first word, end word) of the passage around these trigrams that holds most of the item, if that is enough."""
-        item, own = self.words[i], self.own_words[i]
+        item, own = self.items[i].words, self.items[i].own_words
         gap, best = max(MIN_GAP, GAP_LENGTHS * len(item)), (0.0, 0, 0)
         first = 0
         for k in range(1, len(spots) + 1):
@@ -94,15 +107,18 @@ class Detector:
 
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, covered share, first character, end character) of each item the text holds."""
-        words = words_of(text)
-        if self.empty or not words:
+        if self.empty:
+            return []
+        found = list(words_in(text))
+        words = [m.group().lower() for m in found]
+        if not words:
             return []
         plain = f" {' '.join(words)} "
         hits: dict[int, list[tuple[int, int, bool]]] = {}
         for end, (n, ids) in self.machine.iter(plain):
-            for i in ids:
-                hits.setdefault(i, []).append((end, n, len(ids) <= ANCHOR_ITEMS))
-        out, starts, places = [], None, None
+            for i, few in ids:
+                hits.setdefault(i, []).append((end, n, few))
+        out, starts = [], None
         for i, ends in hits.items():
             if starts is None:  # the word that ends before each blank of the normalised text
                 starts, n = {}, 0
@@ -111,16 +127,38 @@ class Detector:
                         starts[p] = n
                         n += 1
             rare = [(starts[e] - n, starts[e]) for e, n, few in ends if few]
-            found = self.passage(i, words, rare)
-            if found is None and len(rare) < len(ends):
-                found = self.passage(i, words, [(starts[e] - n, starts[e]) for e, n, _ in ends])
-            if found is not None:
-                covered, a, b = found
-                places = places or [m.span() for m in WORD.finditer(text.lower())]
-                out += [(c, covered, places[a][0], places[b - 1][1]) for c in self.copies[i]]
+            best = self.passage(i, words, rare)
+            if best is None and len(rare) < len(ends):
+                best = self.passage(i, words, [(starts[e] - n, starts[e]) for e, n, _ in ends])
+            if best is not None:
+                covered, a, b = best
+                out += [(c, covered, found[a].start(), found[b - 1].end()) for c in self.items[i].ids]
         return out
 
 
+def prepared_items(items: DataFrame) -> DataFrame:
+    """(i, t) -> (ids, words, own_words, rare, n_bytes, key): items of equal words as one, with their words of no other item (of an item with a near
+    copy those of the two alone) and their trigrams of at most ANCHOR_ITEMS items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(map(grams_of, words), pa.list_(pa.string()))], ["i", "words", "grams"])
+
+    scratch = Scratch(items.sparkSession, "items")
+    split = items.mapInArrow(run, "i bigint, words array<string>, grams array<string>").where("size(words) > 0")
+    one = scratch.save(split.groupBy("words", "grams").agg(F.array_sort(F.collect_set("i")).alias("ids")).withColumn("key", F.get("ids", F.lit(0))), "one")
+    pieces = one.select("key", F.explode(F.array_distinct("words")).alias("piece"), F.lit(True).alias("word")).unionAll(one.select("key", F.explode("grams"), F.lit(False)))
+    held = pieces.join(pieces.groupBy("word", "piece").agg(F.count("*").alias("n")), ["word", "piece"]).where(F.col("n") <= ANCHOR_ITEMS)
+    some = lambda c: F.collect_list(F.when(c, F.col("piece")))
+    few = held.groupBy("key").agg(some(F.col("word") & (F.col("n") == 1)).alias("alone"), some(F.col("word")).alias("shared"), some(~F.col("word")).alias("rare"))
+    empty = F.array().cast("array<string>")
+    peculiar = F.coalesce(F.when(F.size("alone") > 0, F.col("alone")).otherwise(F.col("shared")), empty)
+    kept = F.filter("words", lambda w: F.array_contains("peculiar", w))  # in the item's order, for the common sequence
+    rows = one.join(few, "key", "left").select("key", "ids", "words", peculiar.alias("peculiar"), F.coalesce("rare", empty).alias("rare"))
+    return scratch.save(rows.select("key", "ids", "words", kept.alias("own_words"), "rare", F.octet_length(F.array_join("words", " ")).alias("n_bytes")), "prepared")
+
+
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.4) -> DataFrame:
     """documents, items -> (doc_id, item_id, covered, start_char, end_char): one row per document and item it holds.
 
@@ -129,15 +167,14 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     collected in blocks of bounded size, each broadcast as one automaton; documents are never shuffled for them.
     """
     own = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
-    size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES
-    alike = F.xxhash64(F.trim(F.regexp_replace(F.lower("t"), r"(?U)[\W_]+", " ")))  # equal items meet in one block
+    own = prepared_items(own)
+    blocks = 1 + (own.agg(F.sum("n_bytes")).first()[0] or 0) // BLOCK_BYTES
     docs = spread(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"))
     kind = documents.schema[doc_id].dataType.simpleString()
     result = None
     for b in range(blocks):
-        block = own.where(F.pmod(alike, F.lit(blocks)) == b).orderBy("i").collect()
-        known = documents.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in block])
+        block = own.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).orderBy("key").collect()
+        known = documents.sparkSession.sparkContext.broadcast([Item(r["ids"], r["words"], r["own_words"], r["rare"]) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             detector = Detector(known.value, share)

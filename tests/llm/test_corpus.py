@@ -101,3 +101,28 @@ def test_items_without_words_of_their_own_are_found(spark):
     docs = [(1, f"x {again} y"), (2, f"x {frame} y"), (3, "x y " + " ".join(words[41:44]) + " z"), (4, "x y " + " ".join(words[41:43]) + " z")]
     d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in K.leaked(d, e).collect()) == [(1, 1), (1, 2), (1, 3), (2, 4), (3, 7)]
+
+
+def test_scripts_without_blanks_and_offsets(spark):
+    zh, th = "稀疏矩阵的分解可以在常数空间内完成并且保持全部约束条件不变", "การแยกตัวประกอบเมทริกซ์ทำได้ในพื้นที่คงที่และรักษาเงื่อนไขทั้งหมด"
+    en = "Every compact lattice admits a greedy cover whose size is at most nine times the optimum"
+    items = [(1, zh), (2, th), (3, en)] + [(100 + k, en + "?" * k) for k in range(1, 50)]
+    docs = [(1, "前文在此。" + zh + "。后文"), (2, "ก่อนหน้า " + th + " ต่อ"), (3, "İİİ İstanbul: " + en.upper() + " İ"), (4, "稀疏矩阵的分解")]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in K.leaked(d, e).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), *((3, 100 + k) for k in range(1, 50))}
+    r = got[3, 3]
+    assert docs[2][1][r["start_char"] : r["end_char"]].endswith("OPTIMUM İ") and "EVERY COMPACT" in docs[2][1][r["start_char"] : r["end_char"]]
+
+
+def test_near_copies_in_different_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    frame = [f"w{k}" for k in range(24)]
+    items = [(i, " ".join(frame + [f"v{i}x{k}" for k in range(rng.randint(1, 6))])) for i in range(30)]
+    d = spark.createDataFrame([(i, f"a b {t} d") for i, t in items] + [(99, " ".join(frame))], "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    pairs = []
+    for size in (16 << 20, 1000):
+        monkeypatch.setattr(K, "BLOCK_BYTES", size)
+        pairs.append({(r["doc_id"], r["item_id"]) for r in K.leaked(d, e).collect()})
+    assert pairs[0] == pairs[1] and {p for p in pairs[0] if p[0] != 99} == {(i, i) for i, _ in items}
