@@ -174,10 +174,10 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     result = None
     for b in range(blocks):
         block = own.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).orderBy("key").collect()
-        known = documents.sparkSession.sparkContext.broadcast([Item(r["ids"], r["words"], r["own_words"], r["rare"]) for r in block])
+        known = documents.sparkSession.sparkContext.broadcast([(r["ids"], r["words"], r["own_words"], r["rare"]) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            detector = Detector(known.value, share)
+            detector = Detector([Item(*item) for item in known.value], share)
             for batch in batches:
                 rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in detector.find(t)]
                 d, i, c, s, e = zip(*rows) if rows else ((), (), (), (), ())

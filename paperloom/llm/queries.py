@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import bpe_encode, format_duplicates, leakage, markup, name_variants, sentences, soft_linkage, truncation
 from paperloom.llm.oracles import ORACLES  # noqa: F401
 from paperloom.operators.packed_values import NAMES, unpack
-from paperloom.runtime import Scratch, table
+from paperloom.runtime import Scratch, table, width
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,9 +33,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "hierarchy_nodes").where(F.col("node_type").isin("abstract", "paragraph"))
-    latest = nodes.groupBy("node_id").agg(F.max(F.struct("parsed_at", "content")).alias("s"))
-    return sentences.sentences(latest.select("node_id", "s.content"), "node_id", "content")
+    nodes = table(spark, sf, "hierarchy_nodes").where(F.col("node_type").isin("abstract", "paragraph")).select("node_id", "pub_id", "parsed_at", "content")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * width(spark))
+    latest = nodes.repartition(tasks, "node_id").groupBy("node_id").agg(F.max(F.struct("parsed_at", "content", "pub_id")).alias("s"))  # one shuffle for both steps
+    languages = table(spark, sf, "publications").groupBy("pub_id").agg(F.max("lang").alias("lang"))
+    known = latest.select("node_id", "s.content", "s.pub_id").join(languages, "pub_id", "left")
+    return sentences.sentences(known, "node_id", "content", "lang", even=False)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every place after a sentence mark (in Thai: every white space) is a candidate. At each candidate the tables of the text's
 language, then of its script, then the default ones are read in order; the first rule whose two regular expressions match
-before and after the place decides. Quotations are found first: inside one nothing breaks.
+before and after the place decides. Quotations are rules too: the first table of every language lets nothing break inside one. The
+language of a text is told from its script and, in Latin script, from its function words; a language given with the text settles what these leave open.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ class Rule(NamedTuple):
     breaks: bool
     before: re.Pattern
     after: re.Pattern
+    #: any place; "inside" a quotation; "closing" one, where ``before`` is what stands before the quotation
+    where: str = "any"
 
 
-def _rules(*table: tuple[str, str, str]) -> list[Rule]:
-    return [Rule(sign == "+", re.compile(rf"(?:{before})\Z"), re.compile(after)) for sign, before, after in table]
+def _rules(*table: tuple[str, ...]) -> list[Rule]:
+    return [Rule(sign == "+", re.compile(rf"(?:{before})\Z"), re.compile(after), *where) for sign, before, after, *where in table]
 
 
 def _words(words: str) -> str:
@@ -53,18 +56,19 @@ _MONTHS_DE = r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September
 
 _ANY = r"(?s:.)?"
 TABLES: dict[str, list[Rule]] = {
+    "quotes": _rules(("-", "", "", "inside")),
     "en": _rules(("-", _words(_EN_NAME), _UPPER), ("-", _words(_EN_NUMBER), _DIGIT)),
     "de": _rules(
         ("-", r"(?<!\d)\d{1,2}\.", rf"\s+(?:{_MONTHS_DE})\b"),
         ("-", r"\b(?:am|im|vom|zum|beim|dem|den|der|des|die|das|ein(?:em|en|er|es)?)\s+\d{1,3}\.", r"\s+\w"),
-        ("-", _words(_DE_NAME), r"\s+[\w„(]"), ("-", _words(_DE_NUMBER), _DIGIT),
+        ("-", _words(_DE_NAME), rf"\s+[\w„(]|{_UPPER}"), ("-", _words(_DE_NUMBER), _DIGIT),
     ),
     "fr": _rules(("-", _words(_FR_NAME), _UPPER), ("-", _words(_FR_NUMBER), _DIGIT)),
     "es": _rules(("-", _words(_ES_NAME), _UPPER), ("-", _words(_ES_NUMBER), _DIGIT)),
     "ru": _rules(("-", _words(_RU_NAME), r"\s+\S"), ("-", _words(_RU_NUMBER), _DIGIT)),
     "ar": _rules(("-", r"(?<!\w)(?:د|أ|م|ص|ج|ط|هـ)\.", r"\s*\S"), ("-", r"(?<=\d)\.", r"\d"), ("+", r"[.!?؟…][»\"”)]*", r"\s+\S")),
     "hi": _rules(("-", r"(?<!\w)(?:डॉ|प्रो|श्री|सु|कु|पं|सं|पृ|उदा)\.", r"\s*\S"), ("-", r"\.", r"\d"), ("-", r"[।॥?!][\"”’)]+", r"\s*(?:यह\s+कह|कह|ऐसा)"), ("+", r"[।॥?!][\"”’)]*", r"\s*\S"), ("+", r"\w\.", r"\s+\S")),
-    "zh": _rules(("-", r"(?<!：)“[^“”]*[。！？…]+”", r"[但并而却的，、；这一]"), ("-", r"[。！？…][」』]", r"[但并而却的，、；]"), ("+", r"[。！？!?][”’」』）)\"]*", r"\s*\S"), ("+", r"…[”’」』）)\"]+", r"\s*\S")),
+    "zh": _rules(("-", r"(?<!：)", r"[但并而却的，、；这一]", "closing"), ("-", r"[。！？…][」』]", r"[但并而却的，、；]"), ("+", r"[。！？!?][”’」』）)\"]*", r"\s*\S"), ("+", r"…[”’」』）)\"]+", r"\s*\S")),
     "ja": _rules(("-", r"[。！？…][」』”）)]", r"\s*[とはがをにのもでやか、，]"), ("+", r"[。！？!?][」』”’）)\"]*", r"\s*\S")),
     "th": _rules(("-", r"(?:ดร|นาย|นาง|พ\.ศ|ค\.ศ|เช่น|ฯลฯ|น)\.?", r"\s"), ("-", r"(?s:.)", r"\s+[\d%ๆ)\]}]"), ("-", r"[\d(\[]", r"\s"), ("+", r"[฀-๿.!?…»\"”)\]}>*_`'$]", r"\s+\S")),
     "latin": _rules(
@@ -83,17 +87,63 @@ TABLES: dict[str, list[Rule]] = {
     ),
 }
 CASCADES = {
-    "latin": ("en", "de", "fr", "es", "latin", "default"), "cyrillic": ("ru", "cyrillic", "default"), "ar": ("ar",), "hi": ("hi",), "zh": ("zh",), "ja": ("ja",), "th": ("th",),
+    **{lang: ("quotes", lang, "latin", "default") for lang in ("en", "de", "fr", "es")}, "latin": ("quotes", "en", "de", "fr", "es", "latin", "default"), "ru": ("quotes", "ru", "cyrillic", "default"),
+    **{lang: ("quotes", lang) for lang in ("ar", "hi", "zh", "ja", "th")},
 }
+RULES = {name: [rule for table in tables for rule in TABLES[table]] for name, tables in CASCADES.items()}
+# Function words by which languages of Latin script are told apart (fixed values).
+FUNCTION_WORDS = {
+    "en": "the of and is are we that with this which it for from by not he she i you our was were be can has have they all to in on as at an than then when if",
+    "de": "der die das und ist sind wir dass mit eine einer ein nicht von zu den dem des auf für im werden wird es sich auch als wie aus bei nach sie er ich in an am um so was war hat kann noch nur über unter durch gegen vor beim vom zum zur jede jeder jedes kein keine",
+    "fr": "le la les et est sont nous que avec une un dans pour des du par pas ce cette qui se sur au aux ne il elle je plus on comme sans",
+    "es": "el la los las y es son que con una un en para del por no se este esta lo su como al más pero sin sobre nos hay cada",
+}
+_VOTES: dict[str, tuple[str, ...]] = {}
+for _lang, _list in FUNCTION_WORDS.items():
+    for _word in _list.split():
+        _VOTES[_word] = (*_VOTES.get(_word, ()), _lang)
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"[.!?…]+(?:\s?»|[\"”“’'»›)\]])*|\n\s*\n")
 CANDIDATES = {
-    "latin": _MARK, "cyrillic": _MARK,
+    **dict.fromkeys(("latin", "en", "de", "fr", "es", "ru"), _MARK),
     "ar": re.compile(r"[.!?؟…]+[»\"”)\]]*"), "hi": re.compile(r"[।॥.!?…]+[\"”’)\]]*"), "zh": re.compile(r"[。！？!?…]+[”’」』）)\"]*"), "ja": re.compile(r"[。！？!?…]+[」』”’）)\"]*"), "th": re.compile(r"(?<=\S)(?=\s+\S)"),
 }
-#: A quotation of at most QUOTE_REACH characters; a longer one counts as an unpaired sign.
-QUOTE_REACH = 1000
-_QUOTES = re.compile("|".join(p.replace("N", f"{{1,{QUOTE_REACH}}}?") for p in (r"“[^“”]N”", r"„[^„“”]N[“”]", r"«[^«»]N»", r"「[^「」]N」", r"『[^『』]N』", r"(?<!\w)\"[^\"]N\"(?!\w)", r"``[^`]N''", r"\$[^$\n]N\$")))
-_SCRIPTS = (("th", re.compile("[฀-๿]")), ("kana", re.compile("[぀-ヿ]")), ("han", re.compile("[㐀-鿿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("cyrillic", re.compile("[Ѐ-ӿ]")))
+# Quotations and inline formulas by their opening and closing signs (fixed values); "" pairs with itself.
+_PAIRS = (("“", "”"), ("„", "“”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"'), ("``", "''"), ("$", "$"))
+_SIGN = re.compile("``|''|[“”„«»「」『』\"$]|\\n\\s*\\n|\\n")
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of quotations and inline formulas, none inside another, in one pass over their signs. A sign without a partner in its
+    paragraph (a formula: in its line) opens nothing."""
+    open_at: dict[str, int] = {}
+    spans = []
+    for m in _SIGN.finditer(text):
+        sign, (a, b) = m.group(), m.span()
+        if sign[0] == "\n":
+            if len(sign) > 1:
+                open_at.clear()
+            else:
+                open_at.pop("$", None)
+            continue
+        for opening, closing in _PAIRS:
+            start = open_at.get(opening)
+            straight = sign == '"'
+            if start is not None and sign in ("''", closing) * (opening == "``") or start is not None and opening != "``" and sign in closing:
+                if a > start + len(opening) and not (straight and text[b : b + 1].isalnum()):
+                    spans.append((start, b))
+                    del open_at[opening]
+                    continue
+            if sign == opening and not (straight and a and text[a - 1].isalnum()):
+                open_at[opening] = a
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+_SCRIPTS = (("th", re.compile("[฀-๿]")), ("kana", re.compile("[぀-ヿ]")), ("han", re.compile("[㐀-鿿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]")))
 #: Share of the letters that decides the script; Latin markup stands in texts of every script.
 SCRIPT_SHARE = 0.25
 
@@ -110,21 +160,49 @@ def script_of(text: str) -> str:
     return ("ja" if counts["kana"] * 20 > counts["han"] else "zh") if name in ("han", "kana") else name
 
 
-def boundaries(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every sentence, in code points; white space around sentences belongs to none."""
+def language_of(text: str, hint: str | None = None) -> str:
+    """The cascade a text is read by: its script's, in Latin script that of the language most function words speak for; where none or several
+    do, the hint's, and without one all Latin tables."""
     script = script_of(text)
-    cascade = [rule for name in CASCADES[script] for rule in TABLES[name]]
-    quotes = [m.span() for m in _QUOTES.finditer(text)]
+    if script != "latin":
+        return script
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for word in _PLAIN_WORD.findall(text.lower()):
+        for lang in _VOTES.get(word, ()):
+            votes[lang] += 1
+    best = max(votes.values())
+    ahead = [lang for lang, n in votes.items() if n == best]
+    hint = (hint or "").strip().lower()[:2]
+    return ahead[0] if len(ahead) == 1 else hint if hint in (ahead if best else votes) else "latin"
+
+
+#: What a rule reads before a place is at most so long, but for runs of the signs below, which are followed to their beginning.
+_REACH = 60
+_RUNS = frozenset(" \t\n\r\"”“’'»›)]」』）.!?…。！？")
+
+
+def boundaries(text: str, hint: str | None = None) -> list[tuple[int, int]]:
+    """(start, end) of every sentence, in code points; white space around sentences belongs to none."""
+    language = language_of(text, hint)
+    quotes = quotations(text)
     cuts, q = [], 0
-    for m in CANDIDATES[script].finditer(text):
+    for m in CANDIDATES[language].finditer(text):
         place = m.end() if not m.group().isspace() else m.start()
         while q < len(quotes) and quotes[q][1] <= place:
             q += 1
-        if q < len(quotes) and quotes[q][0] < place:
-            continue
-        low = max(0, place - QUOTE_REACH if script == "zh" else place - 60)
-        for rule in cascade:
-            if rule.after.match(text, place) and rule.before.search(text, low, place):
+        inside = q < len(quotes) and quotes[q][0] < place
+        closing = quotes[q - 1][0] if q and quotes[q - 1][1] == place else -1
+        low = max(0, place - _REACH)
+        while low and text[low] in _RUNS:
+            low -= 1
+        for rule in RULES[language]:
+            if rule.where == "any":
+                fits = rule.after.match(text, place) and rule.before.search(text, low, place)
+            elif rule.where == "inside":
+                fits = inside
+            else:
+                fits = closing >= 0 and rule.after.match(text, place) and rule.before.search(text, max(0, closing - _REACH), closing)
+            if fits:
                 if rule.breaks:
                     cuts.append(place)
                 break
@@ -138,19 +216,22 @@ def boundaries(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def sentences(rows: DataFrame, key: str, content: str) -> DataFrame:
+def sentences(rows: DataFrame, key: str, content: str, language: str | None = None, even: bool = True) -> DataFrame:
     """rows -> (key, pos, start_char, end_char, sentence): one row per sentence, pos from 1 in reading order.
 
     Characters are code points of ``content``; ``end_char`` counts those up to and including the sentence's last non-blank one. Null,
     empty and blank contents give no rows; a last sentence without a mark is one. Rows are handled as they come: repeated rows repeat.
+    ``language`` names a column of language codes, which may be null or wrong. ``even`` spreads the rows of a small scan over all cores; not needed
+    where they come from a shuffle.
     """
-    own = rows.select(F.col(key).alias("k"), F.col(content).alias("t")).where("k is not null and t is not null")
+    hint = F.col(language) if language else F.lit(None).cast("string")
+    own = rows.select(F.col(key).alias("k"), F.col(content).alias("t"), hint.alias("h")).where("k is not null and t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picks, pos, starts, ends, parts = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for n, (a, b) in enumerate(boundaries(text), 1):
+            for row, (text, hint) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for n, (a, b) in enumerate(boundaries(text, hint), 1):
                     picks.append(row)
                     pos.append(n)
                     starts.append(a)
@@ -159,4 +240,4 @@ def sentences(rows: DataFrame, key: str, content: str) -> DataFrame:
             keys = batch.column(0).take(pa.array(picks, pa.int32()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.string())], [key, "pos", "start_char", "end_char", "sentence"])
 
-    return spread(own).mapInArrow(run, f"`{key}` {own.schema['k'].dataType.simpleString()}, pos int, start_char int, end_char int, sentence string")
+    return (spread(own) if even else own).mapInArrow(run, f"`{key}` {own.schema['k'].dataType.simpleString()}, pos int, start_char int, end_char int, sentence string")

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from paperloom.llm.sentences import boundaries, script_of, sentences
+from paperloom.llm.sentences import boundaries, language_of, script_of, sentences
 
 CASES = [
     ["Dr. Doe came at 9.30 a.m. on 3 Jan. and left.", "Then it rained."],
@@ -19,6 +19,8 @@ CASES = [
     ["В 14 г. до н. э. такой меры не было.", "См. рис. 8 и с. 9 у А. Б. Иванова.", "«Это неверно. Так было», — сказал он."],
     ["यह सही है।", "क्या यह 8.12 में है?", "डॉ. वेलकर ने कहा।"],
     ["قال د. فيلكور: «هذا صحيح. لم يكن قط».", "هل يصح 7.9؟", "نعم."],
+    ["We measure the height h.", "The result is good."], ["I met Art.", "He left early."], ["We used the env.", "Later we stopped."],
+    ["Wir sehen uns d. h. morgen und die env. ist da.", "Das ist alles."],
 ]
 TIGHT = [
     ["误差从39.8%降到0.8%。", "作者写道“界限很紧。”但没有证明。", "审稿人说：“错的。一直错。”", "新的图出现了！"],
@@ -40,6 +42,14 @@ def test_without_blanks(parts):
     assert [text[a:b] for a, b in boundaries(text)] == parts
 
 
+def test_long_quotations_and_lookback():
+    inner = "None fits. " * 200
+    text = f"They wrote, “{inner}all.” in June. Then \"{inner}\" came. End."
+    assert [text[a:b] for a, b in boundaries(text)] == [f"They wrote, “{inner}all.” in June.", f'Then "{inner}" came.', "End."]
+    assert len(boundaries("An unpaired “sign. Here. Two.\n\nThe next. “One. Two.” is one.")) == 5
+    assert language_of("Fig. 3.", "de") == "de" and language_of("Fig. 3.") == "latin" and language_of("We see that it is so.", "de") == "en"
+
+
 def test_thai_breaks_at_blanks():
     text = "วิธีการนี้ปรับปรุงบทพิสูจน์ ดัชนีเก่าอธิบายทุกฉบับ$x_1$\nชั้นที่สอง"
     assert [text[a:b] for a, b in boundaries(text)] == text.split()
