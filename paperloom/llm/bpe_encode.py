@@ -24,6 +24,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words kept between batches of a task; only speed depends on it.
 MEMORY_WORDS = 200_000
+#: Ranks of pairs kept between batches of a task; only speed depends on it.
+MEMORY_PAIRS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,6 +106,8 @@ class MergeReplay:
         words = [regex.findall(WORD_PATTERN, t) if t else [] for t in texts]
         if len(self.memory) > MEMORY_WORDS:
             self.memory.clear()
+        if len(self.pair) > MEMORY_PAIRS:
+            self.pair.clear()
         new = {w for ws in words for w in ws}.difference(self.memory)
         if new:
             self.learn(list(new))

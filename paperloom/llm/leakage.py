@@ -25,7 +25,7 @@ from paperloom.runtime import Scratch
 _SINGLE = "\u0e00-\u0e7f\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
 WORD = re.compile(r"[^\W_]+")
 HAS_SINGLE = re.compile(f"[{_SINGLE}]")
-SINGLE_OR_WORD = re.compile(f"[{_SINGLE}]|(?:(?![{_SINGLE}])[^\\W_])+")
+SINGLE_OR_WORD = re.compile(f"[{_SINGLE}]|[^\\W_{_SINGLE}]+")
 #: Items whose texts together take about this many bytes share one automaton (and one broadcast); more items make more scans.
 BLOCK_BYTES = 16 << 20
 #: Two anchors of one passage are at most this many item lengths apart, or MIN_GAP words.
@@ -36,13 +36,23 @@ ANCHOR_ITEMS = 2
 MARGIN = 3
 
 
-def words_in(text: str) -> Iterator[re.Match]:
-    """The words of a text where they stand."""
-    return (SINGLE_OR_WORD if HAS_SINGLE.search(text) else WORD).finditer(text)
+def _pattern(text: str) -> re.Pattern:
+    return WORD if text.isascii() or not HAS_SINGLE.search(text) else SINGLE_OR_WORD
 
 
 def words_of(text: str) -> list[str]:
-    return [m.group().lower() for m in words_in(text)]
+    """The words in lower case, as many as there are in the text as written."""
+    low = text.lower()
+    if len(low) == len(text):
+        return _pattern(low).findall(low)
+    return [w.lower() for w in _pattern(text).findall(text)]
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Where the words of words_of stand in the text."""
+    low = text.lower()
+    text = low if len(low) == len(text) else text
+    return [m.span() for m in _pattern(text).finditer(text)]
 
 
 def grams_of(words: list[str]) -> list[str]:
@@ -109,8 +119,7 @@ class Detector:
         """(item, covered share, first character, end character) of each item the text holds."""
         if self.empty:
             return []
-        found = list(words_in(text))
-        words = [m.group().lower() for m in found]
+        words = words_of(text)
         if not words:
             return []
         plain = f" {' '.join(words)} "
@@ -118,7 +127,7 @@ class Detector:
         for end, (n, ids) in self.machine.iter(plain):
             for i, few in ids:
                 hits.setdefault(i, []).append((end, n, few))
-        out, starts = [], None
+        out, starts, found = [], None, None
         for i, ends in hits.items():
             if starts is None:  # the word that ends before each blank of the normalised text
                 starts, n = {}, 0
@@ -132,7 +141,8 @@ class Detector:
                 best = self.passage(i, words, [(starts[e] - n, starts[e]) for e, n, _ in ends])
             if best is not None:
                 covered, a, b = best
-                out += [(c, covered, found[a].start(), found[b - 1].end()) for c in self.items[i].ids]
+                found = found or places_of(text)
+                out += [(c, covered, found[a][0], found[b - 1][1]) for c in self.items[i].ids]
         return out
 
 

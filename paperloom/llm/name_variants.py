@@ -226,26 +226,50 @@ def monge_elkan(a: tuple[str, str], b: tuple[str, str]) -> float:
 
 
 def stars(forms: list[tuple[str, str, int]]) -> list[list[int]]:
-    """Centres each form belongs to. Fuller and more frequent forms become centres first; a form that suits several equally belongs to all."""
+    """Centres each form belongs to. Fuller and more frequent forms become centres first; a form that suits several equally belongs to all.
+
+    Centres are kept by first name, first names by every beginning they can share, so a form meets the centres it may suit and not all."""
     order = sorted(range(len(forms)), key=lambda i: (len(forms[i][0]) <= 1, len(forms[i][0]) <= 4, not forms[i][1], -forms[i][2], forms[i][0], forms[i][1]))
-    centres: list[int] = []
+    by_name: dict[str, list[int]] = {}
+    names: dict[str, set[str]] = {}
     member: list[list[int]] = [[] for _ in forms]
+    alike: dict[str, dict[str, float]] = {}
     for i in order:
-        scores = {c: score for c in centres if (score := monge_elkan(forms[i], forms[c])) >= LEAST_SIMILARITY}
+        first = forms[i][0]
+        near = alike.get(first)
+        if near is None:
+            asked = by_name if not first else {n for key in _openings(first) for n in names.get(key, ())}
+            near = alike[first] = {n: score for n in asked if (score := _inner(first, n))}
+        scores = {c: score for n in near for c in by_name[n] if (score := monge_elkan(forms[i], forms[c])) >= LEAST_SIMILARITY}
         best = max(scores.values(), default=0.0)
-        fit = [c for c, score in scores.items() if score > best - 0.04]
+        fit = sorted(c for c, score in scores.items() if score > best - 0.04)
         if not fit:
-            centres.append(i)
             fit = [i]
+            if first not in by_name:
+                by_name[first] = []
+                for key in _openings(first):
+                    names.setdefault(key, set()).add(first)
+                for other, known in alike.items():
+                    if score := _inner(other, first):
+                        known[first] = score
+            by_name[first].append(i)
         member[i] = fit
     return member
 
 
+def _openings(first: str) -> set[str]:
+    """Keys of which two first names share one if _inner can be above 0: initials, those of nicknames, and all but the first sign or two."""
+    keys = {first[:1], *NICK_INITIALS.get(first, ()), ""} if len(first) < 2 else {first[:1], *NICK_INITIALS.get(first, ())}
+    if len(first) > 3:
+        keys |= {first[1:], first[2:], first}
+    return keys
+
+
 def author_of(names: DataFrame) -> DataFrame:
     """(name) rows -> (spelling, author): the authors a spelling stands for, mostly one.
 
     A spelling is a value as written, without outer white space and quotes; null and blank values are dropped, repeated values count
-    as evidence. A bare surname stands for every author of that surname. An empty table gives an empty result.
+    as evidence. A bare surname stands for every author of that surname; a spelling without letters is an author of its own. An empty table gives an empty result.
     """
     spark = names.sparkSession
     scratch = Scratch(spark, "names")
@@ -262,7 +286,9 @@ def author_of(names: DataFrame) -> DataFrame:
     firsts = parsed.where(F.length("first") > 4).groupBy(F.lit("").alias("bucket"), F.col("first").alias("token")).agg(F.sum("cnt").alias("cnt"))
     first_pairs = spelling_pairs(firsts, rows=2, similarity=0.4).where(F.col("umlaut") | (F.col("centre_cnt") >= CENTRE_RATIO * F.col("cnt")))
     first_links = maybe_broadcast(best_links(first_pairs, scratch, "first").select(F.col("token").alias("first"), F.col("centre").alias("first_centre")))
-    named = parsed.join(first_links, "first", "left").withColumn("first", F.coalesce("first_centre", "first")).withColumn("bucket", F.concat("kind", F.substring("first", 1, 1)))
+    # a spelling without any letter names nobody it could share an author with
+    nobody = parsed.where("surname = ''").select("spelling", F.concat(F.lit("?|"), "spelling").alias("author"))
+    named = parsed.where("surname <> ''").join(first_links, "first", "left").withColumn("first", F.coalesce("first_centre", "first")).withColumn("bucket", F.concat("kind", F.substring("first", 1, 1)))
     surnames = named.groupBy("bucket", F.col("surname").alias("token")).agg(F.sum("cnt").alias("cnt"))
     links = best_links(verified(spelling_pairs(surnames, rows=3, similarity=0.5), named), scratch, "surname").withColumnRenamed("token", "surname")
     blocks = named.join(maybe_broadcast(links), ["bucket", "surname"], "left").withColumn("surname", F.coalesce("centre", "surname"))
@@ -291,7 +317,7 @@ def author_of(names: DataFrame) -> DataFrame:
 
     # forms of one surname are few however often they occur: they are distinct before they meet in one task
     clustered = forms.repartition("bucket", "surname").sortWithinPartitions("bucket", "surname").mapInArrow(cluster, "bucket string, surname string, first string, more string, author string")
-    return blocks.join(clustered, ["bucket", "surname", "first", "more"]).select("spelling", "author")
+    return blocks.join(clustered, ["bucket", "surname", "first", "more"]).select("spelling", "author").unionAll(nobody)
 
 
 def variant_pairs(names: DataFrame) -> DataFrame:

@@ -44,6 +44,32 @@ def test_spellings_of_like_frequency_are_linked(spark):
     assert pairs == {p for g in groups for p in itertools.combinations(sorted(g), 2)}
 
 
+def plain_stars(forms):
+    order = sorted(range(len(forms)), key=lambda i: (len(forms[i][0]) <= 1, len(forms[i][0]) <= 4, not forms[i][1], -forms[i][2], forms[i][0], forms[i][1]))
+    centres, member = [], [[] for _ in forms]
+    for i in order:
+        scores = {c: x for c in centres if (x := N.monge_elkan(forms[i], forms[c])) >= N.LEAST_SIMILARITY}
+        fit = sorted(c for c, x in scores.items() if x > max(scores.values()) - 0.04)
+        if not fit:
+            centres.append(i)
+            fit = [i]
+        member[i] = fit
+    return member
+
+
+def test_stars_meet_every_centre_they_may_suit():
+    rng = np.random.default_rng(4)
+    names = "catherine katherine cathrine william w b j john jon jonathan maria mria amria m masha max maxim robert r roebrt obert li lin ed edward e".split() + [""]
+    for _ in range(500):
+        forms = list({(str(rng.choice(names)), "".join(rng.choice(list("abc"), rng.integers(0, 3))), int(rng.integers(1, 6))) for _ in range(rng.integers(1, 13))})
+        assert N.stars(forms) == plain_stars(forms)
+
+
+def test_spellings_without_letters_are_nobody(spark):
+    rows = [("123",), ("456",), ("--",), ("The Collaboration",), ("A. Roe",), ("Anna Roe",)]
+    assert {tuple(r) for r in N.variant_pairs(spark.createDataFrame(rows, "name string")).collect()} == {("A. Roe", "Anna Roe")}
+
+
 ENTRY = "entry_id bigint, pub_id string, title string, authors string, pub_year string, arxiv_id string, raw_content string, confidence double"
 REF = "ref_id bigint, pub_id string, title string, authors array<string>, submission_date string, arxiv_id string, confidence double"
 
