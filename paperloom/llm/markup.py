@@ -1,9 +1,10 @@
 """Markup residue in texts: HTML, Markdown, wiki and LaTeX to clean text that keeps headings, lists, code blocks and formulas.
 
-Every sign that may be markup becomes a node of the text's tree: tags, environments, commands with an argument and brace
-groups hold the nodes inside them. A node is markup or plain. Its own potential comes from its kind, the potentials between
-parent and child from how the two states go together, both counted in labelled pages. Sum-product messages run from the
-leaves up and from the root down; a node is taken for markup if its marginal is over one half.
+Every sign that may be markup becomes a node of the page's tree: tags, environments, commands with an argument and brace
+groups hold the nodes inside them, the page holds the rest. A node is markup or plain, the page marked or not. A node's own potential comes
+from its kind and whether it is closed, the potentials between parent and child from how often their states go together for the
+parent's kind and the child's name, both counted in labelled pages: hand-labelled lines and a bounded sample of the texts at hand, labelled where their structure agrees with itself.
+Sum-product messages run from the leaves up to the page and down again; a node is taken for markup if its marginal is over one half.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _NODE = re.compile(
   (?=[\\<{}*_`$~&\[!|\#='+>-]|(?<=\n)[ \t])(?:
   (?P<fence>^```[^\n]*\n.*?(?:^```[ \t]*$|\Z)|\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\})
 | (?P<comment><!--.*?-->)
-| (?P<math>\$\$[^$]+\$\$|(?<![\\$])\$(?=[^\s$])[^$\n]{1,200}(?<=[^\s\\])\$(?!\d)|\\\(.+?\\\)|\\\[.+?\\\]|<math\b[^<>]*>.*?</math>|\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}.*?\\end\{(?P=env)\})
+| (?P<math>\$\$[^$]+\$\$|(?<![\\$])\$(?=[^\s$])[^$\n]+(?<=[^\s\\])\$(?!\d)|\\\(.+?\\\)|\\\[.+?\\\]|<math\b[^<>]*>.*?</math>|\\begin\{(?P<env>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}.*?\\end\{(?P=env)\})
 | (?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)
 | (?P<entity>&(?:\#[0-9]{1,7}|\#x[0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)
 | (?P<begin>\\begin\{[A-Za-z]+\*?\}(?:\[[^\[\]]*\])?(?:\{[^{}]*\})?)
@@ -40,10 +41,10 @@ _NODE = re.compile(
 | (?P<heading>^[ ]{0,3}\#{1,6}[ ][^\n]*|^(?P<eq>={1,6})[ ]*[^=\n]+?[ ]*(?P=eq)[ \t]*$)
 | (?P<underline>(?<=\n)(?:={3,}|-{3,})[ \t]*$)
 | (?P<bullet>^[ \t]*[*+>-][ \t]+(?=\S)|^[*\#]{1,3}[ ]+(?='''))
-| (?P<strong>\*\*(?=[^\s*]).{1,400}?(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_]).{1,400}?(?<=[^\s_])__(?!\w)|'''(?=[^\s']).{1,400}?(?<=[^\s'])''')
-| (?P<emph>(?<![\w*])\*(?=[^\s*])[^*\n]{1,400}?(?<=[^\s*])\*(?![\w*])|(?<!\w)_(?=[^\s_])[^_\n]{1,400}?(?<=[^\s_])_(?!\w)|(?<!')''(?=[^\s'])[^'\n]{1,400}?(?<=[^\s'])''(?!'))
+| (?P<strong>\*\*(?=[^\s*])(?:(?!\*\*|\n[ \t]*\n).)+(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_])(?:(?!__|\n[ \t]*\n).)+(?<=[^\s_])__(?!\w)|'''(?=[^\s'])(?:(?!'''|\n[ \t]*\n).)+(?<=[^\s'])''')
+| (?P<emph>(?<![\w*])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])|(?<!\w)_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?!\w)|(?<!')''(?=[^\s'])[^'\n]+(?<=[^\s'])''(?!'))
 | (?P<quote>``(?=\S)|(?<=\S)'')
-| (?P<code>`[^`\n]{1,200}`)
+| (?P<code>`[^`\n]+`)
 | (?P<tie>(?<=\S)~(?=[\w\\(\[$]))
 | (?P<open>\{)
 | (?P<close>\})
@@ -72,15 +73,20 @@ LABELLED_PAGES: tuple[tuple[int, str], ...] = (
 
 
 class Node:
-    __slots__ = ("kind", "name", "start", "end", "parent", "children", "tail", "up", "marginal")
+    __slots__ = ("kind", "name", "start", "end", "parent", "children", "tail", "holds", "up", "marginal")
 
     def __init__(self, kind: str, name: str, start: int, end: int, parent: int) -> None:
         self.kind, self.name, self.start, self.end, self.parent = kind, name, start, end, parent
         self.children: list[int] = []
         self.tail = (-1, -1)  # the closing sign
+        self.holds = False
         self.up = (0.0, 0.0)
         self.marginal = 0.0
 
+    @property
+    def form(self) -> str:
+        return "whole" if not self.holds else "closed" if self.tail[0] >= 0 else "unclosed"
+
 
 def tree_of(text: str) -> list[Node]:
     """The nodes in reading order; parent -1 is the page itself."""
@@ -95,7 +101,7 @@ def tree_of(text: str) -> list[Node]:
             name = "tag" if tag in _TAGS else "tag:other"
             if sign[1] == "/":
                 for at in range(len(stack) - 1, -1, -1):
-                    if nodes[stack[at]].kind == "tag" and nodes[stack[at]].name == name and text[nodes[stack[at]].start + 1 :][: len(tag)].lower() == tag:
+                    if nodes[stack[at]].kind == "tag" and nodes[stack[at]].name == name and text[nodes[stack[at]].start + 1 : nodes[stack[at]].start + 1 + len(tag)].lower() == tag:
                         nodes[stack[at]].tail = (start, end)
                         del stack[at:]
                         break
@@ -125,6 +131,7 @@ def tree_of(text: str) -> list[Node]:
             nodes[parent].children.append(len(nodes))
         nodes.append(Node(kind, name, start, end, parent))
         if holds:
+            nodes[-1].holds = True
             stack.append(len(nodes) - 1)
     for node in nodes:
         if node.kind == "open" and node.children and node.end == nodes[node.children[0]].start:
@@ -132,40 +139,95 @@ def tree_of(text: str) -> list[Node]:
     return nodes
 
 
+#: Labelled texts drawn from the input to fit the model; a bound, not a share: more texts hardly change the counts.
+SAMPLE_TEXTS = 2000
+#: Weight of one hand-labelled node, in nodes of sampled texts.
+HAND_WEIGHT = 20.0
+# Kinds whose signs also stand in plain text.
+_OPEN_KINDS = frozenset(("open", "math:money", "tag:other", "entity:other"))
+
+
+def self_labels(nodes: list[Node]) -> list[int | None]:
+    """Labels of a text's nodes where its structure agrees: a sign that has the form of markup and one inside it is markup, in a text
+    without any such sign every sign is plain, and the rest is left open."""
+    evident = [n.name not in _OPEN_KINDS for n in nodes]
+    if not any(evident):
+        return [0] * len(nodes)
+    labels: list[int | None] = []
+    for n, e in zip(nodes, evident):
+        labels.append(1 if e or n.parent >= 0 and labels[n.parent] == 1 else None)
+    return labels
+
+
 class TreeModel:
-    """Potentials counted in labelled pages, with half a count added everywhere."""
+    """Potentials counted in labelled pages, with half a count added everywhere; a kind or pair of kinds never seen falls back on
+    the kind without its form, then on even odds."""
 
-    def __init__(self, pages: tuple[tuple[int, str], ...] = LABELLED_PAGES) -> None:
-        own: dict[str, list[float]] = {}
-        pair = [[0.5, 0.5], [0.5, 0.5]]
+    def __init__(self, pages: tuple[tuple[int, str], ...] = LABELLED_PAGES, sample: list[str] = ()) -> None:
+        self.own_counts: dict[str, list[float]] = {}
+        self.pair_counts: dict[tuple[str, str], list[list[float]]] = {}
+        self.root_counts = [0.5, 0.5]
         for label, text in pages:
-            for node in (nodes := tree_of(text)):
-                own.setdefault(node.name, [0.5, 0.5])[label] += 1
-                if node.parent >= 0:
-                    pair[label][label] += 1
-        self.own = {k: (math.log(p / (p + m)), math.log(m / (p + m))) for k, (p, m) in own.items()}
-        self.neutral = (math.log(0.5), math.log(0.5))
-        self.pair = [[math.log(pair[a][b] / sum(pair[a])) for b in (0, 1)] for a in (0, 1)]
-
-    def marginals(self, nodes: list[Node]) -> None:
-        """Sum-product over the tree: parents stand before their children, so one pass backward and one forward do it."""
-        (p00, p01), (p10, p11) = self.pair
-        own, neutral = self.own, self.neutral
-        belief = [own.get(n.name, neutral) for n in nodes]
-        for i in range(len(nodes) - 1, -1, -1):
-            n = nodes[i]
-            if n.parent >= 0:
-                a, b = belief[i]
+            nodes = tree_of(text)
+            self._count(nodes, [label] * len(nodes), label, HAND_WEIGHT)
+        for text in sample:
+            nodes = tree_of(text)
+            if nodes:
+                labels = self_labels(nodes)
+                self._count(nodes, labels, int(1 in labels), 1.0)
+        log = lambda c: (math.log(c[0] / (c[0] + c[1])), math.log(c[1] / (c[0] + c[1])))
+        self.own = {k: log(c) for k, c in self.own_counts.items()}
+        self.pair = {k: [log(row) for row in c] for k, c in self.pair_counts.items()}
+        self.root = log(self.root_counts)
+        self.even = (math.log(0.5), math.log(0.5))
+        self.even_pair = [self.even, self.even]
+
+    def _count(self, nodes: list[Node], labels: list[int | None], page: int, weight: float) -> None:
+        self.root_counts[page] += weight
+        for n, label in zip(nodes, labels):
+            if label is None:
+                continue
+            for name in (n.name, f"{n.name} {n.form}"):
+                self.own_counts.setdefault(name, [0.5, 0.5])[label] += weight
+            above = page if n.parent < 0 else labels[n.parent]
+            if above is not None:
+                kind = "page" if n.parent < 0 else nodes[n.parent].kind
+                self.pair_counts.setdefault((kind, n.name), [[0.5, 0.5], [0.5, 0.5]])[above][label] += weight
+
+    def own_of(self, n: Node) -> tuple[float, float]:
+        return self.own.get(f"{n.name} {n.form}") or self.own.get(n.name, self.even)
+
+    def pair_of(self, parent: str, name: str) -> list[tuple[float, float]]:
+        return self.pair.get((parent, name), self.even_pair)
+
+    def marginals(self, nodes: list[Node], messages: bool = True) -> float:
+        """Sum-product over the tree; gives the page's own marginal. Parents stand before their children, so one pass backward and one
+        forward do it. Without messages every node is judged alone."""
+        belief = [self.own_of(n) for n in nodes]
+        page = self.root
+        if messages:
+            pairs = [self.pair_of("page" if n.parent < 0 else nodes[n.parent].kind, n.name) for n in nodes]
+            for i in range(len(nodes) - 1, -1, -1):
+                n = nodes[i]
+                ((p00, p01), (p10, p11)), (a, b) = pairs[i], belief[i]
                 n.up = (_add(p00 + a, p01 + b), _add(p10 + a, p11 + b))
-                x, y = belief[n.parent]
-                belief[n.parent] = (x + n.up[0], y + n.up[1])
-        for i, n in enumerate(nodes):
-            a, b = belief[i]
-            if n.parent >= 0:
-                x, y = belief[n.parent]
+                if n.parent >= 0:
+                    x, y = belief[n.parent]
+                    belief[n.parent] = (x + n.up[0], y + n.up[1])
+                else:
+                    page = (page[0] + n.up[0], page[1] + n.up[1])
+            for i, n in enumerate(nodes):
+                ((p00, p01), (p10, p11)), (a, b) = pairs[i], belief[i]
+                x, y = belief[n.parent] if n.parent >= 0 else page
                 x, y = x - n.up[0], y - n.up[1]
-                a, b = belief[i] = (a + _add(x + p00, y + p10), b + _add(x + p01, y + p11))
-            n.marginal = 1 / (1 + math.exp(min(700.0, a - b)))
+                belief[i] = (a + _add(x + p00, y + p10), b + _add(x + p01, y + p11))
+        for n, (a, b) in zip(nodes, belief):
+            n.marginal = _share(a, b)
+        return _share(*page)
+
+
+def _share(a: float, b: float) -> float:
+    return 1 / (1 + math.exp(max(-700.0, min(700.0, a - b))))
 
 
 def _add(a: float, b: float) -> float:
@@ -175,31 +237,32 @@ def _add(a: float, b: float) -> float:
 MODEL = TreeModel()
 
 
-def marked(text: str) -> bool:
+def marked(text: str, model: TreeModel = MODEL) -> bool:
     nodes = tree_of(text)
     if not nodes:
         return False
-    MODEL.marginals(nodes)
+    model.marginals(nodes)
     return any(n.marginal > 0.5 for n in nodes)
 
 
+_PRE_BEFORE, _PRE_AFTER = re.compile(r"<pre[^<>]*>\s*\Z", re.I), re.compile(r"\s*</pre>", re.I)
 _MARKS = {'"': "̈", "'": "́", "`": "̀", "^": "̂", "~": "̃", "=": "̄", ".": "̇"}
 
 
-def clean(text: str) -> str:
+def clean(text: str, model: TreeModel = MODEL) -> str:
     """Clean text: headings as ``# ``, list items as ``- ``, code in fences or backquotes, formulas in ``$`` or ``$$``."""
     if "\\begin{tabular" in text:
         text = re.sub(r"(?<!\\)&(?![#\w]+;)", "|", text)
-    out = _convert(text)
+    out = _convert(text, model)
     out = re.sub(r"[ \t]+(?=\n)", "", out)
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
-def _convert(text: str) -> str:
+def _convert(text: str, model: TreeModel = MODEL) -> str:
     nodes = tree_of(text)
     if not nodes:
         return text
-    MODEL.marginals(nodes)
+    model.marginals(nodes)
     edits: list[tuple[int, int, str]] = []
     for n in nodes:
         if n.marginal > 0.5:
@@ -207,7 +270,7 @@ def _convert(text: str) -> str:
             if n.kind == "underline":  # the line above is the heading
                 line = text.rfind("\n", 0, n.start - 1) + 1
                 edits.append((line, line, "# " if sign[0] == "=" else "## "))
-            head, tail = _replace(n, sign, text)
+            head, tail = _replace(n, sign, text, model)
             edits.append((n.start, n.end, head))
             if n.tail[0] >= 0 and n.kind in ("open", "command"):
                 edits.append((*n.tail, tail))
@@ -219,7 +282,7 @@ def _convert(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _replace(n: Node, sign: str, text: str) -> tuple[str, str]:
+def _replace(n: Node, sign: str, text: str, model: TreeModel) -> tuple[str, str]:
     """What stands for a node's opening sign and, if it holds others, for its closing one."""
     kind = n.kind
     if kind == "fence":
@@ -240,7 +303,7 @@ def _replace(n: Node, sign: str, text: str) -> tuple[str, str]:
         if tag == "pre":
             return ("\n```\n" if not closing else "\n```\n"), ""
         if tag == "code":
-            return ("" if re.search(r"<pre[^<>]*>\s*$", text[: n.start], re.I) or closing and re.match(r"\s*</pre>", text[n.end :], re.I) else "`"), ""
+            return ("" if _PRE_BEFORE.search(text, max(0, n.start - 200), n.start) or closing and _PRE_AFTER.match(text, n.end) else "`"), ""
         if tag == "li":
             return ("" if closing else "\n- "), ""
         if tag in ("p", "br", "div", "tr", "ul", "ol", "table", "blockquote", "hr", "section"):
@@ -275,9 +338,9 @@ def _replace(n: Node, sign: str, text: str) -> tuple[str, str]:
     if kind == "escape":
         return ("\n" if sign == "\\\\" else " " if sign[1] in ",;! " else sign[1]), ""
     if kind == "wikilink":
-        return _convert(sign[2:-2].rsplit("|", 1)[-1]), ""
+        return _convert(sign[2:-2].rsplit("|", 1)[-1], model), ""
     if kind == "link":
-        return _convert(re.match(r"!?\[(.*)\]\(", sign, re.S).group(1)), ""
+        return _convert(re.match(r"!?\[(.*)\]\(", sign, re.S).group(1), model), ""
     if kind == "template":
         parts = sign[2:-2].split("|")[1:]
         return ". ".join(p.split("=", 1)[-1].strip() for p in parts), ""
@@ -286,13 +349,13 @@ def _replace(n: Node, sign: str, text: str) -> tuple[str, str]:
         return re.sub(r"\s*(?:\|\||!!)\s*", " | ", cells), ""
     if kind == "heading":
         level = len(re.match(r"\s*([#=]+)", sign).group(1))
-        return f"{'#' * level} {_convert(sign.strip().strip('#=').strip())}", ""
+        return f"{'#' * level} {_convert(sign.strip().strip('#=').strip(), model)}", ""
     if kind == "underline":
         return "", ""
     if kind == "bullet":
         return ("" if sign.strip() == ">" else "- "), ""
     if kind in ("strong", "emph"):
-        return _convert(re.sub(r"^(\*\*|__|'''|\*|_|'')(.*)\1$", r"\2", sign, flags=re.S)), ""
+        return _convert(re.sub(r"^(\*\*|__|'''|\*|_|'')(.*)\1$", r"\2", sign, flags=re.S), model), ""
     if kind == "code":
         return sign, ""
     if kind == "quote":
@@ -300,16 +363,22 @@ def _replace(n: Node, sign: str, text: str) -> tuple[str, str]:
     return (" ", "") if kind == "tie" else ("", "")
 
 
-def _map_texts(rows: DataFrame, convert: bool) -> DataFrame:
+def fitted(fields: DataFrame) -> TreeModel:
+    """The model with a sample of at most SAMPLE_TEXTS texts, the first in the order of a hash of their keys."""
+    maybe = fields.where(F.col("t").rlike(CANDIDATE)).select("t", F.xxhash64("table_name", "record_key", "t").alias("h"))
+    return TreeModel(sample=[r["t"] for r in maybe.orderBy("h").limit(SAMPLE_TEXTS).collect()])
+
+
+def _map_texts(rows: DataFrame, model: TreeModel, convert: bool) -> DataFrame:
     """(table_name, record_key, t) -> the same rows with (marked, clean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            flags = [marked(t) for t in texts]
+            flags = [marked(t, model) for t in texts]
             columns = [batch.column(0), batch.column(1), pa.array(flags, pa.bool_())]
             if convert:
-                columns.append(pa.array([clean(t) if f else t for f, t in zip(flags, texts)], pa.string()))
+                columns.append(pa.array([clean(t, model) if f else t for f, t in zip(flags, texts)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["table_name", "record_key", "marked", "clean_text"][: len(columns)])
 
     return rows.mapInArrow(run, "table_name string, record_key string, marked boolean" + ", clean_text string" * convert)
@@ -321,7 +390,7 @@ def field_rows(rows: DataFrame, table_name: str, key: Column, content: str) -> D
 
 def with_markup(fields: DataFrame) -> DataFrame:
     """field_rows -> distinct (table_name, record_key) whose field holds markup; null, empty and blank fields hold none."""
-    found = _map_texts(spread(fields.where(F.col("t").rlike(CANDIDATE))), convert=False)
+    found = _map_texts(spread(fields.where(F.col("t").rlike(CANDIDATE))), fitted(fields), convert=False)
     return found.where("marked").select("table_name", "record_key").distinct()
 
 
@@ -329,4 +398,4 @@ def cleaned(fields: DataFrame) -> DataFrame:
     """field_rows -> (table_name, record_key, marked, clean_text), row by row; a text without markup stays as it is."""
     maybe = F.col("t").rlike(CANDIDATE)
     plain = fields.where(~maybe).select("table_name", "record_key", F.lit(False).alias("marked"), F.col("t").alias("clean_text"))
-    return plain.unionByName(_map_texts(spread(fields.where(maybe)), convert=True))
+    return plain.unionByName(_map_texts(spread(fields.where(maybe)), fitted(fields), convert=True))

@@ -43,14 +43,25 @@ def test_marginals_equal_enumeration():
     import math
 
     nodes = K.tree_of(r"\emph{a {b} \textbf{c~d}} {e <i>f</i>}")
-    K.MODEL.marginals(nodes)
-    total, ones = 0.0, [0.0] * len(nodes)
-    for states in itertools.product((0, 1), repeat=len(nodes)):
-        p = math.exp(sum(K.MODEL.own.get(n.name, K.MODEL.neutral)[s] + (K.MODEL.pair[states[n.parent]][s] if n.parent >= 0 else 0) for n, s in zip(nodes, states)))
-        total += p
+    page = K.MODEL.marginals(nodes)
+    total, ones, marked = 0.0, [0.0] * len(nodes), 0.0
+    for root, *states in itertools.product((0, 1), repeat=len(nodes) + 1):
+        p = K.MODEL.root[root]
+        for n, s in zip(nodes, states):
+            above, kind = (root, "page") if n.parent < 0 else (states[n.parent], nodes[n.parent].kind)
+            p += K.MODEL.own_of(n)[s] + K.MODEL.pair_of(kind, n.name)[above][s]
+        total += math.exp(p)
+        marked += math.exp(p) * root
         for i, s in enumerate(states):
-            ones[i] += p * s
-    assert all(abs(n.marginal - o / total) < 1e-9 for n, o in zip(nodes, ones))
+            ones[i] += math.exp(p) * s
+    assert all(abs(n.marginal - o / total) < 1e-9 for n, o in zip(nodes, ones)) and abs(page - marked / total) < 1e-9
+
+
+def test_long_signs_are_nodes():
+    long = "word " * 300
+    for sign in ("**", "*", "$", "`", "'''", "__", "_"):
+        assert K.marked(f"a {sign}{long}x{sign} b"), sign
+    assert not K.marked("**" + "a " * 50_000)
 
 
 def test_over_tables(spark):
