@@ -123,3 +123,13 @@ def to_json(node_rows: DataFrame) -> DataFrame:
     elems = F.map_from_entries(F.transform("n", lambda x: F.struct(x["node_id"], x["content"])))
     links = F.map_from_entries(F.transform(F.filter("n", lambda x: x["parent"].isNotNull()), lambda x: F.struct(x["node_id"], x["parent"])))
     return grouped.select("doc", F.to_json(F.struct(elems.alias("elements"), F.create_map(F.lit("1"), links).alias("hierarchy"))).alias("json"))
+
+
+def to_legacy_json(node_rows: DataFrame) -> DataFrame:
+    """doc, json: the whole tree with every node's type, level, number, parent and children."""
+    kids = node_rows.where("parent is not null").groupBy("doc", F.col("parent").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("node_id").alias("k")))), lambda x: x["k"]).alias("children"))
+    rows = node_rows.join(kids, ["doc", "node_id"], "left")
+    node = F.struct("node_id", "type", "content", "level", F.col("path").alias("hierarchy_path"), "parent", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
+    trees = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", node.alias("n")))).alias("ns"), F.min_by("node_id", "pos").alias("root_id"))
+    nodes = F.map_from_entries(F.transform("ns", lambda x: F.struct(x["n"]["node_id"], x["n"])))
+    return trees.select("doc", F.to_json(F.struct(F.col("doc").cast("string").alias("paper_id"), "root_id", nodes.alias("nodes"))).alias("json"))

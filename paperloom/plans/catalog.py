@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import general, matching, parsing
+from paperloom.plans import files, general, matching, parsing
 
-MODULES = [general, matching, parsing]
+MODULES = [general, matching, parsing, files]
 flagship = matching.rank_top5

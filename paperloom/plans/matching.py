@@ -34,6 +34,11 @@ def _all_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _bib(spark, sf).join(M.refs_in_band(_bib(spark, sf), _ref(spark, sf)), "pub_id")
 
 
+def _pairs_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entries, and the candidates some entry's band holds."""
+    return _bib(spark, sf), M.refs_in_band(_bib(spark, sf), _ref(spark, sf))
+
+
 _W = r"[^\p{L}\p{N}_]+"
 _STOP = "['" + "','".join(M.X.STOP_WORDS) + "']"
 
@@ -138,18 +143,6 @@ def features_all(spark, sf):
     return _features(spark, sf).select("pub_id", "bib_key", "ref_id", *[F.round(f, 6).alias(f) for f in M.FEATURES])
 
 
-def _one_feature(name: str) -> None:
-    def one(spark, sf):
-        return _features(spark, sf).select("pub_id", "bib_key", "ref_id", F.round(name, 6).alias(name))
-
-    one.__name__ = f"feature_{name}"
-    query(_FEATS + f"SELECT pub_id, bib_key, ref_id, round({name},6) AS {name} FROM feats")(one)
-
-
-for _name in M.FEATURES:
-    _one_feature(_name)
-
-
 @query(_FEATS + "SELECT pub_id, bib_key, ref_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY pub_id, bib_key ORDER BY round(combined_score,9) DESC, ref_pos, ref_id) AS rank FROM feats) WHERE rank <= 50")
 def candidate_top50(spark, sf):
     return M.top_candidates(_features(spark, sf).withColumn("s", F.round("combined_score", 9)), "s", M.MAX_CANDIDATES).select("pub_id", "bib_key", "ref_id", F.col("rank").cast("bigint").alias("rank"))

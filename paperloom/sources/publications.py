@@ -28,10 +28,50 @@ def source_files(spark: SparkSession, root: str, suffix: str = "tex") -> DataFra
     return files.select(part(1).alias("pub_id"), part(2).alias("version"), part(3).alias("rel_path"), F.substring_index(path, "/", -1).alias("file_name"), decode(F.col("content")).alias("content")).where("pub_id <> ''")
 
 
+def publication_ids(spark: SparkSession, root: str) -> DataFrame:
+    """pub_id of every publication folder below ``root`` that holds a file; only names are read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    inside = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    base = "/" + root.split("://")[-1].strip("/") + "/"
+    return names.select(F.split(F.substring(inside, F.lit(len(base) + 1), F.length(inside)), "/").alias("p")).where(F.size("p") > 1).select(F.get("p", F.lit(0)).alias("pub_id")).distinct()
+
+
+def metadata(pubs: DataFrame, files: DataFrame) -> DataFrame:
+    """pub_id, metadata map of every publication; a missing or broken file gives an empty map."""
+    found = files.select("pub_id", F.col("json").alias("found"))
+    return pubs.join(found, "pub_id", "left").select("pub_id", F.coalesce("found", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")).alias("metadata"))
+
+
+def skip_reasons(pubs: DataFrame, refs: DataFrame, tex: DataFrame, bibs: DataFrame) -> DataFrame:
+    """pub_id, skip_reason: what keeps a publication from being matched, the first that holds; null where nothing does. refs: (pub_id, json
+    map) of references.json; tex, bibs: rows per publication."""
+    r = refs.groupBy("pub_id").agg(F.max(F.coalesce(F.size("json"), F.lit(0))).alias("n_refs"))
+    t, b = tex.groupBy("pub_id").agg(F.count("*").alias("n_tex")), bibs.groupBy("pub_id").agg(F.count("*").alias("n_bibs"))
+    reason = F.when(F.col("n_refs").isNull(), "no_refs_file").when(F.col("n_refs") == 0, "empty_refs").when(F.col("n_tex").isNull(), "no_tex_folder").when(F.col("n_bibs").isNull(), "no_bibs")
+    return pubs.join(r, "pub_id", "left").join(t, "pub_id", "left").join(b, "pub_id", "left").select("pub_id", reason.alias("skip_reason"))
+
+
+def label_status(labels: DataFrame, pubs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(pub_id, bib_key or null, arxiv_id) -> pub_id, status, n_valid: skipped without a folder or labels, failed if no label names one of the
+    publication's candidates (pub_id, arxiv_id), else success."""
+    known, there = refs.select("pub_id", "arxiv_id", F.lit(True).alias("valid")).distinct(), pubs.select("pub_id", F.lit(True).alias("there")).distinct()
+    rows = labels.join(known, ["pub_id", "arxiv_id"], "left").join(there, "pub_id", "left")
+    out = rows.groupBy("pub_id").agg(F.count("valid").alias("n_valid"), F.count("bib_key").alias("n"), F.count("there").alias("n_there"))
+    status = F.when((F.col("n_there") == 0) | (F.col("n") == 0), "skipped").when(F.col("n_valid") == 0, "failed").otherwise("success")
+    return out.select("pub_id", status.alias("status"), F.when(status == "success", F.col("n_valid")).otherwise(F.lit(0)).alias("n_valid"))
+
+
+def legacy_nodes(trees: DataFrame) -> DataFrame:
+    """(json) of the full-tree form -> paper_id, root_id, node_id, type, content, level, hierarchy_path, parent, children."""
+    node = "struct<node_id:string,type:string,content:string,level:int,hierarchy_path:array<int>,parent:string,children:array<string>,metadata:map<string,string>>"
+    parsed = trees.select(F.from_json("json", f"struct<paper_id:string,root_id:string,nodes:map<string,{node}>>").alias("t")).where("t is not null")
+    return parsed.select("t.paper_id", "t.root_id", F.explode("t.nodes").alias("id", "n")).select("paper_id", "root_id", "n.*")
+
+
 def side_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """pub_id and the parsed JSON of one side file per publication; broken JSON gives null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    return files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("pub_id"), F.from_json(decode(F.col("content")), schema).alias("json"))
+    return files.select(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"/([^/]+)/[^/]+$", 1).alias("pub_id"), F.from_json(decode(F.col("content")), schema).alias("json"))
 
 
 def reference_rows(json: DataFrame) -> DataFrame:
