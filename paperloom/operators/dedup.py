@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import latex as L
 from paperloom.functions import text as X
 
 SIMILARITY = 0.85
+#: Fields of a printed reference read as BibTeX.
+FIELDS = ("type", "key", "author", "title", "year", "journal", "volume", "pages", "doi", "arxiv")
 
 
 def content_ids(rows: DataFrame, group: list[str], order: list[str], content: str, prefix: Column, collapsed: bool = False) -> DataFrame:
@@ -57,7 +60,8 @@ def key_features(rows: DataFrame) -> DataFrame:
 
 
 def greedy_clusters(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(pub_id, key, version, pos, raw_content) -> pub_id, content_hash, canonical_key, all_keys, versions, raw_content.
+    """(pub_id, key, version, pos, raw_content) -> pub_id, content_hash, canonical_key, all_keys, versions, raw_content, bibtex: of
+    every BibTeX field the first value that is not empty.
 
     References come by version descending and position; each joins the cluster of its hash, else of its key, else the first cluster whose
     representative has its DOI, its arXiv id, or its year and first word with a word similarity above ``threshold``; else it founds one. The
@@ -65,6 +69,7 @@ def greedy_clusters(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     word), so a publication costs its rows and not their square.
     """
     ready = key_features(rows.where(F.trim(F.coalesce("raw_content", F.lit(""))) != ""))
+    ready = ready.withColumn("b", L.bibtex_of(F.col("key"), F.col("raw_content"))).withColumn("fields", F.array(*[F.col("b")[f] for f in FIELDS]))
     ready = ready.repartition("pub_id").sortWithinPartitions("pub_id", F.desc("version"), "pos")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,12 +89,13 @@ def greedy_clusters(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame
                     hit = min(options, key=lambda h: clusters[h]["n"]) if options else None
                 if hit is None:
                     hit = r.h
-                    clusters[hit] = {"n": len(clusters), "key": r.key, "keys": set(), "versions": set(), "raw": r.raw_content, "w": words}
+                    clusters[hit] = {"n": len(clusters), "key": r.key, "keys": set(), "versions": set(), "raw": r.raw_content, "w": words, "fields": list(r.fields)}
                     if r.doi:
                         by_doi.setdefault(r.doi, hit)
                     if r.arxiv:
                         by_arxiv.setdefault(r.arxiv, hit)
                     by_name.setdefault((r.year, r.first), []).append(hit)
+                clusters[hit]["fields"] = [old or new for old, new in zip(clusters[hit]["fields"], r.fields)]
                 clusters[hit]["keys"].add(r.key)
                 clusters[hit]["versions"].add(r.version)
                 by_key[r.key] = hit
@@ -97,9 +103,9 @@ def greedy_clusters(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             yield _flush(pub, state)
 
     def _flush(pub, state) -> pd.DataFrame:
-        return pd.DataFrame([(pub, h, c["key"], sorted(c["keys"]), sorted(c["versions"]), c["raw"]) for h, c in state[0].items()], columns=["pub_id", "content_hash", "canonical_key", "all_keys", "versions", "raw_content"])
+        return pd.DataFrame([(pub, h, c["key"], sorted(c["keys"]), sorted(c["versions"]), c["raw"], {f: v for f, v in zip(FIELDS, c["fields"]) if v}) for h, c in state[0].items()], columns=["pub_id", "content_hash", "canonical_key", "all_keys", "versions", "raw_content", "bibtex"])
 
-    return ready.select("pub_id", "key", "version", "raw_content", "h", "doi", "arxiv", "year", "first", "words").mapInPandas(fold, "pub_id string, content_hash string, canonical_key string, all_keys array<string>, versions array<string>, raw_content string")
+    return ready.select("pub_id", "key", "version", "raw_content", "h", "doi", "arxiv", "year", "first", "words", "fields").mapInPandas(fold, "pub_id string, content_hash string, canonical_key string, all_keys array<string>, versions array<string>, raw_content string, bibtex map<string,string>")
 
 
 def canonical_keys(clusters: DataFrame) -> DataFrame:

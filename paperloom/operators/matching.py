@@ -70,6 +70,14 @@ def banded_pairs(bib_side: DataFrame, ref_side: DataFrame, band: int = TITLE_BAN
     return b.join(r, ["pub_id", "bucket"]).where(F.abs(F.col("b_len") - F.col("r_len")) <= band).drop("bucket")
 
 
+def spread_pairs(bib_side: DataFrame, ref_side: DataFrame, parts: int = 16) -> DataFrame:
+    """All pairs of one publication. Candidates are dealt into ``parts`` and every entry meets each part, so that a large publication is
+    spread over as many keys."""
+    b = bib_side.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = ref_side.withColumn("part", F.pmod(F.xxhash64("ref_id"), F.lit(parts)).cast("int"))
+    return b.join(r, ["pub_id", "part"]).drop("part")
+
+
 def refs_in_band(bib_side: DataFrame, ref_side: DataFrame, band: int = TITLE_BAND) -> DataFrame:
     """Candidates for which some entry of the publication lies in the band: distinct lengths per publication are compared, not entries."""
     lengths = bib_side.select("pub_id", F.explode(F.sequence(F.col("b_len") - band, F.col("b_len") + band)).alias("r_len")).distinct()
@@ -128,8 +136,18 @@ def auto_label_author_year(pairs: DataFrame, threshold: float = 0.3) -> DataFram
 
 
 def auto_labels(pairs: DataFrame) -> DataFrame:
-    """The ladder: the first strategy with any match counts, in it the most confident, first candidate on ties."""
-    keep = ["pub_id", "bib_key", "ref_id", "ref_pos", "r_arxiv", "strategy", "confidence"]
-    every = auto_label_arxiv(pairs).select(*keep).unionByName(auto_label_title(pairs).select(*keep)).unionByName(auto_label_author_year(pairs).select(*keep))
-    order = Window.partitionBy("pub_id", "bib_key").orderBy("strategy", F.desc("confidence"), "ref_pos", "ref_id")
-    return every.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """The ladder: the first strategy with any match counts, in it the most confident, first candidate on ties. One pass over the pairs: a pair
+    stands for its own first strategy, which is all the ladder can ask of it."""
+    sim = F.round(X.jaccard(X.label_tokens(F.col("b_written")), X.label_tokens(F.col("r_written"))), 12)
+    first = lambda c: X.label_surname(F.get(F.col(c), F.lit(0)))
+    near = F.abs(F.expr("try_cast(b_year as int)") - F.expr("try_cast(r_year as int)")) <= 1
+    hit = (F.col("r_arxiv") != "") & (F.contains(F.col("b_raw"), F.col("r_arxiv")) | F.contains(F.col("b_raw"), X.dotted(F.col("r_arxiv"))))
+    like = (F.size("b_authors") > 0) & (F.size("r_authors") > 0) & near & (first("b_authors") == first("r_authors"))
+    found = lambda n, c: F.array(F.struct(F.lit(n).alias("strategy"), c.alias("confidence")))
+    by_title = lambda s: F.when(s >= 0.7, found(2, s)).when((s >= 0.3) & like, found(3, F.round(0.6 + 0.4 * s, 12)))
+    best_of = F.when(hit, found(1, F.lit(1.0))).otherwise(F.get(F.transform(F.array(sim), by_title), F.lit(0)))
+    # a generator, so that no filter repeats the comparison below it
+    rows = pairs.select("pub_id", "bib_key", "ref_id", "ref_pos", "r_arxiv", F.explode_outer(best_of).alias("x")).select("pub_id", "bib_key", "ref_id", "ref_pos", "r_arxiv", "x.*").where("strategy is not null")
+    order = F.struct(F.col("strategy"), -F.col("confidence"), F.col("ref_pos"), F.col("ref_id"))
+    best = rows.groupBy("pub_id", "bib_key").agg(F.min_by(F.struct("ref_id", "ref_pos", "r_arxiv", "strategy", "confidence"), order).alias("s"))
+    return best.select("pub_id", "bib_key", "s.*")

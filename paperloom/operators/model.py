@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 from paperloom.operators.matching import DEFAULT_WEIGHTS, FEATURES, probability
 from paperloom.runtime import Scratch
 
-#: Steps of the feature grid, the same for inputs of every size; pairs on one grid point share one row of statistics.
-GRID = 1e-3
 
-
-def sufficient_statistics(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", grid: float = GRID) -> DataFrame:
+def sufficient_statistics(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label") -> DataFrame:
     """Distinct feature vectors with their number and their sum of labels: full-batch gradients depend on nothing else."""
-    cells = [F.round(F.col(f) / grid).cast("bigint").alias(f) for f in features]
-    return pairs.select(*cells, F.col(label).cast("double").alias("y")).groupBy(*features).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    return pairs.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("y")).groupBy(*features).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
 
 
-def train(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", lr: float = 0.1, epochs: int = 1000, max_vectors: int = 2_000_000) -> tuple[list[float], float]:
+def train(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", lr: float = 0.1, epochs: int = 1000, max_vectors: int = 1_000_000) -> tuple[list[float], float]:
     """Full-batch gradient descent from zero weights, without scaling or penalty -> (weights, bias).
 
     One Spark job reduces the pairs to distinct vectors. Up to ``max_vectors`` of them the epochs run on the driver; a larger table stays
@@ -53,7 +49,7 @@ def train(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label"
 
 
 def _arrays(rows: pa.Table | pa.RecordBatch, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.column_stack([rows.column(f).to_numpy() for f in features]) * GRID
+    x = np.column_stack([rows.column(f).to_numpy() for f in features])
     return x, rows.column("n").to_numpy().astype(float), rows.column("y").to_numpy()
 
 

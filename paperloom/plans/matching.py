@@ -8,30 +8,41 @@ from pyspark.sql import functions as F
 from paperloom.operators import matching as M
 from paperloom.operators import metrics, model
 from paperloom.runtime import table
+from paperloom.sources import sinks
+from paperloom.sources.publications import PREDICTION
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _entries(spark: SparkSession, sf: str) -> DataFrame:
-    return M.entries_of(table(spark, sf, "bib_entries"))
+def _only(rows: DataFrame, pubs: DataFrame | None) -> DataFrame:
+    return rows if pubs is None else rows.join(pubs, "pub_id", "left_semi")
 
 
-def _bib(spark: SparkSession, sf: str) -> DataFrame:
-    return M.with_bib_side(_entries(spark, sf))
+def _entries(spark: SparkSession, sf: str, pubs: DataFrame | None = None) -> DataFrame:
+    return M.entries_of(_only(table(spark, sf, "bib_entries"), pubs))
 
 
-def _ref(spark: SparkSession, sf: str) -> DataFrame:
-    return M.with_ref_side(M.candidates_of(table(spark, sf, "ref_entries")))
+def _bib(spark: SparkSession, sf: str, pubs: DataFrame | None = None) -> DataFrame:
+    return M.with_bib_side(_entries(spark, sf, pubs))
+
+
+def _ref(spark: SparkSession, sf: str, pubs: DataFrame | None = None) -> DataFrame:
+    return M.with_ref_side(M.candidates_of(_only(table(spark, sf, "ref_entries"), pubs)))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     return M.with_features(M.banded_pairs(_bib(spark, sf), _ref(spark, sf)))
 
 
-def _all_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every candidate of the publication that lies in some entry's band: what scoring ranks."""
-    return _bib(spark, sf).join(M.refs_in_band(_bib(spark, sf), _ref(spark, sf)), "pub_id")
+def _all_pairs(spark: SparkSession, sf: str, truth: DataFrame | None = None) -> DataFrame:
+    """Every candidate of the publication that lies in some entry's band: what scoring ranks. With ``truth`` only its entries are paired,
+    and only their publications read."""
+    pubs = None if truth is None else truth.select("pub_id").distinct()
+    bib = _bib(spark, sf, pubs)
+    refs = M.refs_in_band(bib, _ref(spark, sf, pubs))
+    asked = bib if truth is None else bib.join(truth.select("pub_id", "bib_key").distinct(), ["pub_id", "bib_key"], "left_semi")
+    return M.spread_pairs(asked, refs)
 
 
 def _pairs_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +159,8 @@ def candidate_top50(spark, sf):
     return M.top_candidates(_features(spark, sf).withColumn("s", F.round("combined_score", 9)), "s", M.MAX_CANDIDATES).select("pub_id", "bib_key", "ref_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _ranked(spark, sf, k: int = 5) -> DataFrame:
-    scored = M.with_features(_all_pairs(spark, sf)).withColumn("probability", M.probability()).withColumn("s", F.round("probability", 9))
+def _ranked(spark, sf, k: int = 5, truth: DataFrame | None = None) -> DataFrame:
+    scored = M.with_features(_all_pairs(spark, sf, truth)).withColumn("probability", M.probability()).withColumn("s", F.round("probability", 9))
     return M.top_candidates(scored, "s", k)
 
 
@@ -178,7 +189,7 @@ def _parts(spark, sf) -> DataFrame:
 
 def _truth_ranks(spark, sf) -> DataFrame:
     truth = _truth(spark, sf)
-    ranked = _ranked(spark, sf).select("pub_id", "bib_key", "r_arxiv", "rank")
+    ranked = _ranked(spark, sf, truth=truth).select("pub_id", "bib_key", "r_arxiv", "rank")
     best = ranked.join(truth, ["pub_id", "bib_key"]).where(F.col("r_arxiv") == F.col("true_id")).groupBy("pub_id", "bib_key").agg(F.min("rank").alias("rank"))
     return truth.select("pub_id", "bib_key").distinct().join(best, ["pub_id", "bib_key"], "left")
 
@@ -219,6 +230,16 @@ def autolabel_arxiv(spark, sf):
     return M.auto_label_arxiv(_all_pairs(spark, sf)).select("pub_id", "bib_key", "ref_id", "confidence")
 
 
+@query(_BASE + ", ids AS (SELECT pub_id, min(r_arxiv) AS one FROM every WHERE r_arxiv <> '' GROUP BY 1) SELECT e.pub_id, bib_key, ref_id, 1.0::DOUBLE AS confidence FROM every e JOIN ids i ON i.pub_id = e.pub_id WHERE r_arxiv = one OR r_arxiv <> '' AND (contains(b_raw, r_arxiv) OR contains(b_raw, replace(r_arxiv, '-', '.')))")
+def autolabel_arxiv_rt(spark, sf):
+    """As autolabel_arxiv, over raw texts that also cite their publication's least id, some as written and some dotted."""
+    pairs = _all_pairs(spark, sf)
+    one = pairs.where("r_arxiv <> ''").groupBy("pub_id").agg(F.min("r_arxiv").alias("one"))
+    dotted = F.ascii(F.substring(F.md5("bib_key"), 1, 1)) % 2 == 0
+    cited = pairs.join(one, "pub_id").withColumn("b_raw", F.concat("b_raw", F.lit(" arXiv:"), F.when(dotted, M.X.dotted(F.col("one"))).otherwise(F.col("one"))))
+    return M.auto_label_arxiv(cited).select("pub_id", "bib_key", "ref_id", "confidence")
+
+
 @query(_AUTO + "SELECT pub_id, bib_key, ref_id, round(confidence,6) AS confidence FROM l2")
 def autolabel_title(spark, sf):
     return M.auto_label_title(_all_pairs(spark, sf)).select("pub_id", "bib_key", "ref_id", F.round("confidence", 6).alias("confidence"))
@@ -242,16 +263,19 @@ def partition_assign(spark, sf):
     return pubs.crossJoin(F.broadcast(first)).select("pub_id", F.when(F.col("pub_id") == F.get("ids", F.lit(0)), "test").when(F.col("pub_id") == F.get("ids", F.lit(1)), "valid").otherwise("train").alias("part"))  # one row of two ids
 
 
-@query(_AUTO + ", pubs AS (SELECT DISTINCT pub_id FROM ladder) SELECT p.pub_id FROM (SELECT DISTINCT pub_id FROM bibs) p WHERE p.pub_id NOT IN (SELECT pub_id FROM pubs)")
+@query(_AUTO + ", pubs AS (SELECT DISTINCT pub_id FROM ladder WHERE ascii(substr(md5(pub_id),1,1)) % 3 > 0) SELECT p.pub_id FROM (SELECT DISTINCT pub_id FROM bibs) p WHERE p.pub_id NOT IN (SELECT pub_id FROM pubs)")
 def quarantine_anti(spark, sf):
-    labelled = M.auto_labels(_all_pairs(spark, sf)).select("pub_id").distinct()
+    """Publications without any label, those of a third of the publications having been taken away."""
+    labelled = M.auto_labels(_all_pairs(spark, sf)).select("pub_id").distinct().where(F.ascii(F.substring(F.md5("pub_id"), 1, 1)) % 3 > 0)
     return _entries(spark, sf).select("pub_id").distinct().join(labelled, "pub_id", "left_anti")
 
 
-@query(_AUTO + "SELECT count(DISTINCT b.pub_id) AS n_pubs, count(DISTINCT l.pub_id) AS n_labelled, round(100.0::DOUBLE*count(DISTINCT l.pub_id)/count(DISTINCT b.pub_id),6) AS coverage FROM bibs b LEFT JOIN ladder l ON l.pub_id=b.pub_id")
+@query(_AUTO + ", other AS (SELECT DISTINCT pub_id FROM bibs WHERE pub_id NOT IN (SELECT pub_id FROM labeled_pairs)) SELECT count(DISTINCT b.pub_id) AS n_pubs, count(DISTINCT l.pub_id) AS n_labelled, round(100.0::DOUBLE*count(DISTINCT l.pub_id)/count(DISTINCT b.pub_id),6) AS coverage FROM other b LEFT JOIN ladder l ON l.pub_id=b.pub_id")
 def coverage_stats(spark, sf):
+    """Share of the publications without hand-made labels that got an automatic one."""
     labelled = M.auto_labels(_all_pairs(spark, sf)).select("pub_id", F.lit(1).alias("hit")).distinct()
-    pubs = _entries(spark, sf).select("pub_id").distinct().join(labelled, "pub_id", "left")
+    others = _entries(spark, sf).select("pub_id").distinct().join(table(spark, sf, "labeled_pairs").select("pub_id").distinct(), "pub_id", "left_anti")
+    pubs = others.join(labelled, "pub_id", "left")
     return pubs.agg(F.count("*").alias("n_pubs"), F.count("hit").alias("n_labelled")).withColumn("coverage", F.round(100.0 * F.col("n_labelled") / F.col("n_pubs"), 6))
 
 
@@ -386,9 +410,12 @@ SELECT p.pub_id, coalesce(q.part,'train') AS part, p.bib_key, true_id, coalesce(
 def pred_export(spark, sf):
     """Per labelled entry its truth and ranked predictions; entries without candidates have an empty list."""
     truth = M.keep_first(_truth(spark, sf), ["pub_id", "bib_key"], [F.col("true_id")])
-    ranked = _ranked(spark, sf).groupBy("pub_id", "bib_key").agg(F.sort_array(F.collect_list(F.concat(F.lpad(F.col("rank").cast("string"), 2, "0"), F.col("r_arxiv")))).alias("top"))
-    out = truth.join(ranked, ["pub_id", "bib_key"], "left").join(_parts(spark, sf), "pub_id", "left")
-    return out.select("pub_id", F.coalesce("part", F.lit("train")).alias("part"), "bib_key", "true_id", F.coalesce(F.array_join("top", ","), F.lit("")).alias("top5"))
+    ranked = _ranked(spark, sf, truth=truth).groupBy("pub_id", "bib_key").agg(F.sort_array(F.collect_set(F.concat(F.lpad(F.col("rank").cast("string"), 2, "0"), F.col("r_arxiv")))).alias("ranked"))
+    rows = truth.join(ranked, ["pub_id", "bib_key"], "left").join(_parts(spark, sf), "pub_id", "left")
+    files = sinks.predictions_json(rows.select("pub_id", F.coalesce("part", F.lit("train")).alias("partition"), F.lit("manual").alias("label_source"), "bib_key", "true_id", "ranked"))
+    back = files.select("pub_id", F.from_json("json", PREDICTION).alias("p"))
+    out = back.select("pub_id", F.col("p.partition").alias("part"), "p.prediction", F.explode("p.groundtruth").alias("bib_key", "true_id"))
+    return out.select("pub_id", "part", "bib_key", "true_id", F.array_join(F.element_at("prediction", F.col("bib_key")), ",").alias("top5"))
 
 
 @query()

@@ -105,10 +105,12 @@ def file_kind(file_name: Column, content: Column) -> Column:
 
 
 def main_files(files: DataFrame) -> DataFrame:
-    """The main file of every version: the first main by path, else the longest, else the first by path."""
+    """The main file of every version: the first main by path, else the longest, else the first by path. An aggregate: no sort of contents."""
+    kinds = files.withColumn("kind", file_kind(F.col("file_name"), F.col("content")))
     main = F.col("kind") == "main"
-    order = Window.partitionBy("pub_id", "version").orderBy(F.desc(main), F.when(~main, -F.length("content")), "rel_path")
-    return files.withColumn("kind", file_kind(F.col("file_name"), F.col("content"))).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    order = F.struct((~main).alias("other"), F.when(~main, -F.length("content")).alias("size"), F.col("rel_path"))
+    rest = [c for c in kinds.columns if c not in ("pub_id", "version")]
+    return kinds.groupBy("pub_id", "version").agg(F.min_by(F.struct(*rest), order).alias("s")).select("pub_id", "version", "s.*")
 
 
 def latest_main(mains: DataFrame) -> DataFrame:

@@ -78,6 +78,9 @@ def test_greedy_clusters(spark):
     got = {r["canonical_key"]: (r["all_keys"], r["versions"]) for r in dedup.greedy_clusters(df).collect()}
     assert got == {"k1": (["k1", "k2"], ["v1", "v2"]), "k3": (["k3", "k4"], ["v1"])}
     assert dedup.greedy_clusters(df.limit(0)).count() == 0
+    more = [("p", "a", "v2", 0, 'A. Doe, "On Things", 2001. doi 10.1234/y'), ("p", "b", "v1", 1, 'A. Doe, "Other", Journal of Stuff, 12:3-9, 2002. 10.1234/y')]
+    one = dedup.greedy_clusters(spark.createDataFrame(more, df.schema)).first()["bibtex"]
+    assert (one["title"], one["year"], one["journal"], one["volume"], one["key"]) == ("On Things", "2001", "Journal of Stuff", "12", "a")
 
 
 def test_sinks(spark, tmp_path):
