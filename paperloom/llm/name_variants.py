@@ -144,11 +144,12 @@ def spelling_pairs(tokens: DataFrame, rows: int, similarity: float, recall: floa
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     swapped = (F.length("t") == F.length("o")) & (letters(F.col("t")) == letters(F.col("o")))
     distance = F.levenshtein("t", "o", 2)
-    umlaut = F.regexp_replace("t", UMLAUT.pattern, "$1") == F.regexp_replace("o", UMLAUT.pattern, "$1")
+    plain = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("ae"), F.lit("a")), F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u"))
+    umlaut = plain("t") == plain("o")
     higher = (F.col("oc") > F.col("c")) | (F.col("oc") == F.col("c")) & (F.col("o") > F.col("t"))
     near = rare.join(often, ["bucket", "k"]).where(higher & ((F.abs(F.length("t") - F.length("o")) <= 1) | umlaut))
     near = near.groupBy("bucket", "t", "o").agg(F.max("c").alias("cnt"), F.max("oc").alias("centre_cnt")).withColumn("umlaut", umlaut)
-    near = near.where(F.col("umlaut") | (distance == 1) | (distance == 2) & swapped)
+    near = near.where((distance == 1) | (distance == 2) & swapped | F.col("umlaut"))
     return near.select("bucket", F.col("t").alias("token"), "cnt", F.col("o").alias("centre"), "centre_cnt", "umlaut")
 
 
