@@ -70,11 +70,17 @@ def banded_pairs(bib_side: DataFrame, ref_side: DataFrame, band: int = TITLE_BAN
     return b.join(r, ["pub_id", "bucket"]).where(F.abs(F.col("b_len") - F.col("r_len")) <= band).drop("bucket")
 
 
-def spread_pairs(bib_side: DataFrame, ref_side: DataFrame, parts: int = 16) -> DataFrame:
-    """All pairs of one publication. Candidates are dealt into ``parts`` and every entry meets each part, so that a large publication is
-    spread over as many keys."""
-    b = bib_side.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = ref_side.withColumn("part", F.pmod(F.xxhash64("ref_id"), F.lit(parts)).cast("int"))
+#: Candidates of one publication that one key of the join of all pairs holds.
+CANDIDATES_PER_KEY = 1000
+
+
+def spread_pairs(bib_side: DataFrame, ref_side: DataFrame, refs: DataFrame) -> DataFrame:
+    """All pairs of one publication. The candidates of a large publication are dealt into parts, each a key of its own that every one of its
+    entries meets; publications of ordinary size have one. ``refs``: rows whose numbers per pub_id tell the sizes."""
+    sizes = refs.groupBy("pub_id").agg(F.ceil(F.count("*") / CANDIDATES_PER_KEY).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    b = bib_side.join(sizes, "pub_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    r = ref_side.join(sizes, "pub_id", "left").withColumn("part", F.pmod(F.xxhash64("ref_id"), parts).cast("int")).drop("parts")
     return b.join(r, ["pub_id", "part"]).drop("part")
 
 

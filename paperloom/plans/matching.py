@@ -42,7 +42,7 @@ def _all_pairs(spark: SparkSession, sf: str, truth: DataFrame | None = None) ->
     bib = _bib(spark, sf, pubs)
     refs = M.refs_in_band(bib, _ref(spark, sf, pubs))
     asked = bib if truth is None else bib.join(truth.select("pub_id", "bib_key").distinct(), ["pub_id", "bib_key"], "left_semi")
-    return M.spread_pairs(asked, refs)
+    return M.spread_pairs(asked, refs, _only(table(spark, sf, "ref_entries"), pubs))
 
 
 def _pairs_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -227,6 +227,21 @@ def bibitem_to_bibtex_rt(spark, sf):
     return rows.select("entry_id", L.bibtex_of(F.lit("k"), made).alias("b")).select("entry_id", "b.type", "b.author", "b.title", "b.year", "b.journal", "b.volume", "b.pages", "b.doi", "b.arxiv")
 
 
+# One case per type and journal rule: what follows the title, and the type and journal read from it.
+_TYPES = [
+    ("Proceedings of the Workshop, 2001", "inproceedings", "Proceedings of the Workshop"), ("Talk at a conference, 2001", "inproceedings", ""), ("Proc. Symp. on Waves, 2001", "article", "Proc. Symp. on Waves"), ("Some Press, 2001", "book", ""),
+    ("A book on it, 2001", "book", ""), ("arXiv:1001.00001, 2001", "misc", ""), ("arXiv preprint, 2001", "misc", "arXiv preprint"), ("PhD thesis, 2001", "phdthesis", ""), ("Physical Review D, 2001", "article", "Physical Review D"), ("Phys. Rev. D 12, 2001", "article", "Phys. Rev. D"),
+    ("Nature Letters, 2001", "article", "Nature Letters"), ("Science, 2001", "article", "Science"), ("Journal of Waves, 2001", "article", "Journal of Waves"), ("IEEE Letters on Waves, 2001", "article", "IEEE Letters on Waves"), ("ACM Notes, 2001", "article", "ACM Notes"), ("none, 2001", "article", ""),
+]
+
+
+@query(f"SELECT entry_id, n, type, 'Waves' AS title, 'A. Body, \\emph{{' AS author, '2001' AS year, journal FROM {_PLAIN_SQL} CROSS JOIN (VALUES " + ", ".join(f"({n}, '{kind}', '{journal}')" for n, (_, kind, journal) in enumerate(_TYPES)) + ") v(n, type, journal)")
+def bibtex_types_rt(spark, sf):
+    cases = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f"A. Body, \\emph{{Waves}}, {rest}.").alias("body")) for n, (rest, *_) in enumerate(_TYPES)]))
+    rows = _plain(spark, sf).select("entry_id", cases.alias("c"))
+    return rows.select("entry_id", "c.n", L.bibtex_of(F.lit("k"), F.col("c.body")).alias("b")).select("entry_id", "n", "b.type", "b.title", "b.author", "b.year", "b.journal")
+
+
 @query(f"SELECT entry_id, t AS title, 'Ann Other;Bo Body' AS authors, '2011' AS year, '1101-00002' AS arxiv_id FROM {_PLAIN_SQL} WHERE t <> ''")
 def bibitem_to_entry_rt(spark, sf):
     made = F.concat(F.lit("Ann Other and Bo Body. \\newblock {\\em "), "t", F.lit("}. 2011. arXiv:1101.00002"))
