@@ -147,7 +147,7 @@ def spelling_pairs(tokens: DataFrame, rows: int, similarity: float, recall: floa
     plain = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("ae"), F.lit("a")), F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u"))
     umlaut = plain("t") == plain("o")
     higher = (F.col("oc") > F.col("c")) | (F.col("oc") == F.col("c")) & (F.col("o") > F.col("t"))
-    near = rare.join(often, ["bucket", "k"]).where(higher & ((F.abs(F.length("t") - F.length("o")) <= 1) | umlaut))
+    near = rare.join(often, ["k", "bucket"]).where(higher & ((F.abs(F.length("t") - F.length("o")) <= 1) | umlaut))
     near = near.groupBy("bucket", "t", "o").agg(F.max("c").alias("cnt"), F.max("oc").alias("centre_cnt")).withColumn("umlaut", umlaut)
     near = near.where((distance == 1) | (distance == 2) & swapped | F.col("umlaut"))
     return near.select("bucket", F.col("t").alias("token"), "cnt", F.col("o").alias("centre"), "centre_cnt", "umlaut")
@@ -267,7 +267,7 @@ def _openings(first: str) -> set[str]:
 
 
 def author_of(names: DataFrame) -> DataFrame:
-    """(name) rows -> (spelling, author): the authors a spelling stands for, mostly one.
+    """(name) rows -> (spelling, author): the authors a spelling stands for, mostly one. A column ``weight`` tells how often a row counts.
 
     A spelling is a value as written, without outer white space and quotes; null and blank values are dropped, repeated values count
     as evidence. A bare surname stands for every author of that surname; a spelling without letters is an author of its own. An empty table gives an empty result.
@@ -275,7 +275,8 @@ def author_of(names: DataFrame) -> DataFrame:
     spark = names.sparkSession
     scratch = Scratch(spark, "names")
     tidy = F.regexp_replace(F.col("name"), r"(?U)^[\s\"“”„']+|[\s\"“”„']+$", "")
-    spellings = names.select(tidy.alias("spelling")).where("spelling <> ''").groupBy("spelling").agg(F.count("*").alias("cnt"))
+    weight = F.col("weight") if "weight" in names.columns else F.lit(1)
+    spellings = names.select(tidy.alias("spelling"), weight.cast("bigint").alias("w")).where("spelling <> ''").groupBy("spelling").agg(F.sum("w").alias("cnt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,8 +72,10 @@ def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _author_names(spark: SparkSession, sf: str) -> DataFrame:
-    bib = unpack(table(spark, sf, "bib_entries"), "entry_id", {"authors": NAMES}).select(F.col("value").alias("name"))
-    return bib.unionAll(table(spark, sf, "ref_entries").select(F.explode("authors").alias("name")))
+    """(name, weight): equal fields are taken apart once."""
+    fields = table(spark, sf, "bib_entries").select("entry_id", "authors").distinct().groupBy("authors").agg(F.count("*").alias("weight"))
+    bib = unpack(fields, "weight", {"authors": NAMES}).select(F.col("value").alias("name"), "weight")
+    return bib.unionAll(table(spark, sf, "ref_entries").select(F.explode("authors").alias("name"), F.lit(1).cast("bigint")))
 
 
 def p6_authors(spark: SparkSession, sf: str) -> DataFrame:
