@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
 from paperloom.functions.text import content_hash
+from paperloom.runtime import Scratch
 
 _EMPTY = "array<struct<pos:array<int>,type:string,content:string,level:int,owner:array<int>,item:int>>"
 
@@ -64,11 +65,14 @@ def elements(docs: DataFrame) -> DataFrame:
     """(doc, content) -> doc, pos, type, content, level, owner, item, path, parent_pos: everything that is emitted, repeats included."""
     c = F.col("content")
     heads = parents(numbering(sections(docs).where("not skip")))
-    head_rows = heads.select("doc", _one(3, F.col("pos"), 0, 0, type=F.col("type"), content=F.col("title"), level=F.col("level"), owner=F.when(F.col("parent_pos").isNotNull(), F.array(F.lit(3), F.col("parent_pos"), F.lit(0), F.lit(0)))).alias("e"), "path")
-    text = heads.select("doc", "pos", "level", L.body_text(F.col("body")).alias("t")).where(F.length("t") >= 20)
-    parts = text.select("doc", "pos", "level", F.posexplode(L.sentences_of(F.col("t"))).alias("j", "s")).where(F.length("s") >= 10)
+    owner = lambda at: F.array(F.lit(3), F.col(at), F.lit(0), F.lit(0))
+    # a heading and its sentences in one pass over the headings; the text is made in a step of its own and read as a column
+    text = heads.withColumn("t", L.body_text(F.col("body"))).withColumn("s", F.when(F.length("t") >= 20, L.sentences_of(F.col("t"))).otherwise(F.array().cast("array<string>")))
+    head = _one(3, F.col("pos"), 0, 0, type=F.col("type"), content=F.col("title"), level=F.col("level"), owner=F.when(F.col("parent_pos").isNotNull(), owner("parent_pos")))
+    parts = F.transform("s", lambda s, j: _one(3, F.col("pos"), 1, j, type="sentence", content=s, level=F.col("level") + 1, owner=owner("pos")))
+    both = text.select("doc", "path", F.explode(F.concat(F.array(head).cast(_EMPTY), F.filter(parts, lambda x: F.length(x["content"]) >= 10).cast(_EMPTY))).alias("e"))
     none = F.lit(None).cast("array<int>").alias("path")
-    sentence_rows = parts.select("doc", _one(3, F.col("pos"), 1, F.col("j"), type="sentence", content=F.col("s"), level=F.col("level") + 1, owner=F.array(F.lit(3), F.col("pos"), F.lit(0), F.lit(0))).alias("e"), none)
+    head_rows = both.select("doc", "e", F.when(F.get("e.pos", F.lit(2)) == 0, F.col("path")).alias("path"))
     root = F.array(_one(0, 0, 0, 0, type="document", content=F.col("doc").cast("string"), level=0))
     title = F.when(L.title_of(c).isNotNull(), F.array(_one(1, 0, 0, 0, type="title", content=L.title_of(c), level=1))).otherwise(F.array().cast(_EMPTY))
     abstract = F.when(L.abstract_of(c).isNotNull(), F.array(_one(2, 0, 0, 0, type="abstract", content=L.abstract_of(c), level=1))).otherwise(F.array().cast(_EMPTY))
@@ -77,7 +81,7 @@ def elements(docs: DataFrame) -> DataFrame:
     lists = F.transform(found, lambda e, n: _one(5, n, 0, 0, type=e["type"], content=F.concat(e["type"], F.lit(" ("), F.size(e["items"]).cast("string"), F.lit(" items)")), level=5))
     items = F.flatten(F.transform(found, lambda e, n: F.transform(e["items"], lambda x, j: _one(5, n, 1, j, type="item", content=x, level=6, owner=F.array(F.lit(5), n, F.lit(0), F.lit(0)), item=j + 1))))
     others = docs.select("doc", F.explode(F.concat(root, title, abstract, envs, lists, items)).alias("e"), none)
-    return head_rows.unionByName(sentence_rows).unionByName(others).select("doc", "e.*", "path")
+    return head_rows.unionByName(others).select("doc", "e.*", "path")
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -85,6 +89,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
     Equal contents share the node of their first occurrence, whatever their types; the root and lists are always nodes of their own. A repeated
     heading takes the parent of its last occurrence, other repeats keep the first. A node is never its own parent: such a link goes to the root.
+    The elements are written once, as they are needed twice.
     """
     own = F.col("type").isin("document", *L.LISTS)
     rows = elements(docs).withColumn("key", F.when(own, F.concat(F.lit("#"), F.array_join(F.transform("pos", lambda p: p.cast("string")), "."))).otherwise(content_hash(F.col("content"), 12)))
@@ -96,6 +101,7 @@ def nodes(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("node_id", F.first(F.format_string("%s_%04d", "type", "n")).over(first))
     heads = F.col("type").isin(*L.HEAD_LEVELS)
     rows = rows.withColumn("owner_used", F.when(F.max(heads.cast("int")).over(first) == 1, F.last(F.when(heads, F.struct("owner")), ignorenulls=True).over(first)["owner"]).otherwise(F.col("owner")))
+    rows = Scratch(rows.sparkSession, "tree").save(rows.select("doc", "node_id", "type", "content", "level", "path", "item", "pos", "new", "owner_used"), "elements")
     firsts = rows.where("new = 1")
     places = rows.select(F.col("doc").alias("p_doc"), F.col("pos").alias("p_pos"), F.col("node_id").alias("p_id"))
     joined = firsts.join(places, (F.col("doc") == F.col("p_doc")) & (F.col("owner_used") == F.col("p_pos")), "left")

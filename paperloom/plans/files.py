@@ -230,8 +230,9 @@ def tree_json_rt(spark, sf):
 @query(_NODES + "SELECT n.doc AS paper_id, 'document_0001' AS root_id, n.node_id, n.type, n.content, n.level, n.path, n.parent, count(c.node_id) AS n_children FROM nodes n LEFT JOIN nodes c ON c.doc = n.doc AND c.parent = n.node_id GROUP BY ALL")
 def legacy_tree_rt(spark, sf):
     """The full-tree JSON, written to files and reloaded."""
-    root = f"{Scratch(spark, 'trees').root}/legacy"
-    files = tree.to_legacy_json(_rendered_nodes(spark, sf))
+    scratch = Scratch(spark, "trees")
+    root = f"{scratch.root}/legacy"
+    files = tree.to_legacy_json(scratch.save(_rendered_nodes(spark, sf), "nodes"))  # read for the nodes and for their children
     sinks.write_files(files.select(F.concat(F.col("doc").cast("string"), F.lit("/tree.json")).alias("rel_path"), F.col("json").alias("content")), root)
     back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(P.decode(F.col("content")).alias("json"))
     return P.legacy_nodes(back).select("paper_id", "root_id", "node_id", "type", "content", "level", _dotted("hierarchy_path").alias("path"), "parent", F.size("children").cast("bigint").alias("n_children"))

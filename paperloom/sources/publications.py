@@ -64,8 +64,10 @@ def label_status(labels: DataFrame, pubs: DataFrame, refs: DataFrame) -> DataFra
 def legacy_nodes(trees: DataFrame) -> DataFrame:
     """(json) of the full-tree form -> paper_id, root_id, node_id, type, content, level, hierarchy_path, parent, children."""
     node = "struct<node_id:string,type:string,content:string,level:int,hierarchy_path:array<int>,parent:string,children:array<string>,metadata:map<string,string>>"
-    parsed = trees.select(F.from_json("json", f"struct<paper_id:string,root_id:string,nodes:map<string,{node}>>").alias("t")).where("t is not null")
-    return parsed.select("t.paper_id", "t.root_id", F.explode("t.nodes").alias("id", "n")).select("paper_id", "root_id", "n.*")
+    parsed = trees.select(F.from_json("json", f"struct<paper_id:string,root_id:string,nodes:map<string,{node}>>").alias("t"))
+    # the ids go into the exploded rows: as columns beside them they would have the whole tree copied with each of its nodes
+    rows = F.transform(F.map_values("t.nodes"), lambda n: F.struct(F.col("t.paper_id").alias("paper_id"), F.col("t.root_id").alias("root_id"), n.alias("n")))
+    return parsed.select(F.explode(rows).alias("x")).select("x.paper_id", "x.root_id", "x.n.*")
 
 
 def side_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_streaming_matches_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("deduped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("deduped").count() == 2
+
+
+def test_nodes_of_a_large_tree_carry_no_copy_of_it(spark):
+    node = {"node_id": "n", "type": "sentence", "content": "c", "level": 1, "hierarchy_path": [1], "parent": None, "children": []}
+    trees = [json.dumps({"paper_id": p, "root_id": "n0", "nodes": {f"n{i}": node | {"node_id": f"n{i}"} for i in range(n)}}) for p, n in (("a", 2), ("b", 1), ("c", 0))]
+    df = P.legacy_nodes(spark.createDataFrame([(t,) for t in (*trees, "{broken", "{}", None)], "json string"))
+    assert sorted((r["paper_id"], r["root_id"], r["node_id"], r["children"]) for r in df.collect()) == [("a", "n0", "n0", []), ("a", "n0", "n1", []), ("b", "n0", "n0", [])]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and not [line for line in plan.splitlines() if "Generate explode" in line and "), [" in line]
