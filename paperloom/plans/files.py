@@ -5,7 +5,7 @@ The tree is written once per session and table folder, below the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
@@ -238,12 +238,19 @@ def legacy_tree_rt(spark, sf):
     return P.legacy_nodes(back).select("paper_id", "root_id", "node_id", "type", "content", "level", _dotted("hierarchy_path").alias("path"), "parent", F.size("children").cast("bigint").alias("n_children"))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """F.round of a double; its decimal arithmetic is only used near a half and where whole numbers don't hold the value."""
+    scaled = x * F.lit(float(10**digits))
+    plain = (x >= 0) & (scaled < 1e14) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3 + scaled * 1e-14)
+    return F.when(plain, F.floor(scaled + 0.5).cast("double") / F.lit(float(10**digits))).otherwise(F.round(x, digits))
+
+
 # Sinks of the matching stages.
 @query(_FEATS + "SELECT pub_id, bib_key, ref_id, " + ", ".join(f"round({f}::FLOAT::DOUBLE, 5) AS {f}" for f in M.FEATURES) + " FROM feats")
 def features_sink_rt(spark, sf):
     path = f"{Scratch(spark, 'features').root}/features"
     sinks.write_features(_features(spark, sf), M.FEATURES, path)
-    return spark.read.parquet(path).select("pub_id", "bib_key", "ref_id", *[F.round(F.col(f).cast("double"), 5).alias(f) for f in M.FEATURES])
+    return spark.read.parquet(path).select("pub_id", "bib_key", "ref_id", *[_rounded(F.col(f).cast("double"), 5).alias(f) for f in M.FEATURES])
 
 
 @query(_FEATS.split(", feats_0")[0].rstrip().rstrip(",") + " SELECT 'bib' AS kind, pub_id, bib_key AS id, title FROM bibs UNION ALL SELECT 'ref', i.pub_id, i.ref_id::VARCHAR, r_written FROM inband i")
