@@ -103,19 +103,24 @@ def learned_marks(titles: DataFrame) -> list[tuple[str, str]]:
     bare = F.regexp_replace(F.regexp_replace("title", r"\$[^$]*\$", " "), r"\\[A-Za-z]+\*?|[{}$\\^_~]", " ")
     words = F.split(F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " ")), " ")
     own = titles.select(words.alias("ws")).where(F.size("ws") > BASE_WORDS - 1).distinct()
-    own = Scratch(titles.sparkSession, "marks").save(own.select("ws", F.xxhash64(F.array_join("ws", " ")).alias("h")), "titles")
+    scratch = Scratch(titles.sparkSession, "marks")
+    own = scratch.save(own.select("ws", F.xxhash64(F.array_join("ws", " ")).alias("h")), "titles")
     n = F.size("ws")
     steps = F.explode(F.sequence(F.lit(1), F.least(n - BASE_WORDS, F.lit(MARK_WORDS)))).alias("k")
     longer = own.where(n > BASE_WORDS).select("ws", n.alias("n"), steps)
-    cut = lambda side, base, part: longer.select(F.lit(side).alias("side"), F.xxhash64(F.array_join(base, " ")).alias("h"), part.alias("phrase"))
+    cut = lambda side, base, part: longer.select(F.lit(side).alias("side"), F.xxhash64(F.array_join(base, " ")).alias("h"), F.array_join(part, " ").alias("phrase"))
     k = F.col("k")
     forms = cut("+", F.slice("ws", F.lit(1), F.col("n") - k), F.slice("ws", F.col("n") - k + 1, k)).unionAll(cut("-", F.slice("ws", k + 1, F.col("n") - k), F.slice("ws", F.lit(1), k)))
-    found = forms.join(own.select("h"), "h").groupBy("side", "phrase").agg(F.count("*").alias("n"))
-    slots = F.transform("phrase", lambda w, i: F.array_join(F.transform("phrase", lambda v, j: F.when(i == j, F.lit("*")).otherwise(v)), " "))
-    opened = found.where(F.size("phrase") > 1).select("side", F.explode(slots).alias("phrase"), "n").groupBy("side", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("fillers")).where(F.col("fillers") >= MARK_FILLERS)
-    every = found.select("side", F.array_join("phrase", " ").alias("phrase"), "n").unionAll(opened.select("side", "phrase", "n"))
+    # written, as it is read twice: else all forms are shuffled once more for the phrases of several words
+    found = scratch.save(forms.join(own.select("h"), "h").groupBy("side", "phrase").agg(F.count("*").alias("n")), "phrases")
+    parts = F.split("phrase", " ")
+    slots = F.transform(parts, lambda w, i: F.array_join(F.transform(parts, lambda v, j: F.when(i == j, F.lit("*")).otherwise(v)), " "))
+    opened = found.where(F.size(parts) > 1).select("side", F.explode(slots).alias("phrase"), "n").groupBy("side", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("fillers")).where(F.col("fillers") >= MARK_FILLERS)
+    every = found.select("side", "phrase", "n").unionAll(opened.select("side", "phrase", "n"))
     least = max(3.0, MARK_SHARE * own.count())
-    return [(r["side"], fold(r["phrase"])) for r in every.where(F.col("n") >= least).select("side", "phrase").collect()]
+    learned = [(r["side"], fold(r["phrase"])) for r in every.where(F.col("n") >= least).select("side", "phrase").collect()]
+    scratch.keep()
+    return learned
 
 
 def title_parts(title: str, marks: Marks) -> tuple[str, str, list[str]]:

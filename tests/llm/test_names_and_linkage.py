@@ -133,3 +133,18 @@ def test_minimum_is_reached():
     assert sure[0] > 0.9 and sure[1] < 0.1
     pair = S.solve(np.array([1, 1]), np.array([3, 3]), np.array([[1.0, 1, 1, 0, 0], [1.0, 1, 1, 0, 0]]))
     assert (pair > 0.5).all()
+
+
+def test_marks_count_all_forms_once(spark, monkeypatch):
+    saved = {}
+
+    class Recorded(S.Scratch):
+        def save(self, df, step):
+            saved[step] = df.schema.simpleString(), df._jdf.queryExecution().executedPlan().toString()
+            return super().save(df, step)
+
+    monkeypatch.setattr(S, "Scratch", Recorded)
+    names = ("green fields", "tall towers", "deep lakes", "old roads")
+    titles = [f"A study of {n} here" for n in names] + [f"A study of {n} here part two" for n in names]
+    assert ("+", "part two") in S.learned_marks(spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert saved["phrases"][0] == "struct<side:string,phrase:string,n:bigint>" and list(saved) == ["titles", "phrases"]
