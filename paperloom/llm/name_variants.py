@@ -56,10 +56,21 @@ UMLAUT = re.compile(r"([aou])e")
 LEAST_SIMILARITY = 0.85
 
 
+class _Plain(dict):
+    """Signs without accents, filled as they are met."""
+
+    def __missing__(self, sign: int) -> int | None:
+        self[sign] = plain = None if unicodedata.combining(chr(sign)) else sign
+        return plain
+
+
+_PLAIN = _Plain({ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l"})
+
+
 def fold(text: str) -> str:
     """Lower case without accents, TeX accents undone. A spelled-out umlaut stays: it is one inserted letter."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("ł", "l")
+        text = unicodedata.normalize("NFKD", text).translate(_PLAIN)
     if "\\" in text:
         text = _TEX_ACCENT.sub(r"\1", text)
     return text.lower()

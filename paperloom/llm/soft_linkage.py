@@ -40,6 +40,8 @@ LEAST_CONFIDENCE = 0.5
 ADMM_RESIDUAL, ADMM_ROUNDS, ADMM_STEP = 2e-3, 5000, 1.0
 #: Titles of so few letters are held against each other letter by letter.
 SHORT_TITLE = 24
+#: Pairs of no greater title evidence are left out, unless they share an identifier.
+LEAST_TITLE = 0.45
 #: Shared title keys that make a candidate.
 LEAST_KEYS = 2
 #: A phrase marks sequels if it does so for this share of all titles, and for three at least; so there are at most 8 / MARK_SHARE phrases.
@@ -76,24 +78,40 @@ class Marks:
     """The learned marks: phrases before ("-") and behind ("+") a title, * standing for any word; long words are known with one error."""
 
     def __init__(self, phrases: list[tuple[str, str]] = ()) -> None:
-        self.phrases = set(phrases)
         words = {w for _, phrase in phrases for w in phrase.split() if len(w) > 5}
         self.misspelled = {x: w for x, w in _misspellings(tuple(sorted(words))).items() if x not in words}
-
-    def _fits(self, side: str, words: list[str]) -> bool:
-        words = [self.misspelled.get(w, w) for w in words]
-        return (side, " ".join(words)) in self.phrases or len(words) > 1 and any((side, " ".join((*words[:i], "*", *words[i + 1 :]))) in self.phrases for i in range(len(words)))
+        # the phrases of a side word by word from the end of the title inward, so that most titles are left at their first word; None ends a phrase
+        self.steps: dict[str, dict] = {"+": {}, "-": {}}
+        for side, phrase in phrases:
+            at = self.steps[side]
+            for w in phrase.split(" ")[:: -1 if side == "+" else 1]:
+                at = at.setdefault(w, {})
+            at[None] = True
+
+    def _longest(self, side: str, words: list[str]) -> int:
+        """Words of the longest phrase the title ends (or begins) with; one of several words may be open."""
+        whole, opened, longest = self.steps[side], [], 0
+        for k in range(min(MARK_WORDS, len(words) - BASE_WORDS)):
+            w = words[-1 - k if side == "+" else k]
+            w = self.misspelled.get(w, w)
+            opened = [x[w] for x in opened if w in x]
+            if "*" in whole:
+                opened.append(whole["*"])
+            whole = whole.get(w, {})
+            if not whole and not opened:
+                break
+            if None in whole or k and any(None in x for x in opened):
+                longest = k + 1
+        return longest
 
     def split(self, words: list[str]) -> tuple[list[str], list[str]]:
         """(words of the title itself, marks)."""
         marks = []
         for side in "+-":
-            for k in range(min(MARK_WORDS, len(words) - BASE_WORDS), 0, -1):
-                part, rest = (words[-k:], words[:-k]) if side == "+" else (words[:k], words[k:])
-                if self._fits(side, part):
-                    marks.append(side + " ".join(self.misspelled.get(w, w) for w in part))
-                    words = rest
-                    break
+            k = self._longest(side, words)
+            if k:
+                part, words = (words[-k:], words[:-k]) if side == "+" else (words[:k], words[k:])
+                marks.append(side + " ".join(self.misspelled.get(w, w) for w in part))
         return words, marks
 
 
@@ -147,13 +165,24 @@ _OUT = ["id", "pub", "letters", "marks", "names", "lead", "year", "identifier",
 _SCHEMA = "id bigint, pub string, letters string, marks string, names string, lead string, year int, identifier string, title_known boolean, words string"
 
 
+def values(column: pa.Array) -> list:
+    """to_pylist of strings, numbers and lists of them, without a scalar object for each value."""
+    if pa.types.is_list(column.type):
+        inner, ends = values(column.values), column.offsets.to_numpy().tolist()
+        lists = [inner[a:b] for a, b in zip(ends, ends[1:])]
+        return [x if known else None for x, known in zip(lists, column.is_valid().to_pylist())] if column.null_count else lists
+    if column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _prepared(rows: DataFrame, make, phrases: list[tuple[str, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
         marks = Marks(phrases)
         for batch in batches:
-            made = [make(marks, *row) for row in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], _OUT)
+            made = zip(*(make(marks, *row) for row in zip(*map(values, batch.columns))))
+            yield pa.RecordBatch.from_arrays([pa.array(m, t) for m, t in zip(made, types)], _OUT)
 
     return rows.mapInArrow(run, _SCHEMA)
 
@@ -162,15 +191,15 @@ NO_MARKS = Marks()
 
 
 def _entry(marks_known, eid, pub, title, authors, year, identifier, raw):
-    piece = _PIECE.split(raw.strip().lstrip('"'), maxsplit=1)[0] if raw else ""
-    source = title if title and title.strip() else piece
-    known = bool(title and title.strip())
+    known, signed, found = bool(title and title.strip()), bool(authors and authors.strip()), _YEAR.search(year or "")
+    piece = _PIECE.split(raw.strip().lstrip('"'), maxsplit=1)[0] if raw and not (known and signed and found) else ""
+    source = title if known else piece
     letters, marks, words = title_parts(source, marks_known if known else NO_MARKS)  # a whole reference has no ends of a title
-    people = authors if authors and authors.strip() else piece
+    people = authors if signed else piece
     names = [w for w in _WORDS.findall(fold(people)) if len(w) > 1 and w not in _NAME_NOISE]  # single letters are initials
-    found = _YEAR.search(year or "") or (_YEAR.findall(piece) and re.search(_YEAR.findall(piece)[-1], piece))
+    years = [found.group()] if found else _YEAR.findall(piece)  # of a reference the last
     ident = (identifier or "").strip().replace(".", "-")
-    return eid, pub, letters, marks, " ".join(names) if people else "", "", int(found.group()[:4]) if found else None, ident, known, " ".join(words)
+    return eid, pub, letters, marks, " ".join(names) if people else "", "", int(years[-1]) if years else None, ident, known, " ".join(words)
 
 
 def _candidate(marks_known, rid, pub, title, authors, date, identifier):
@@ -187,48 +216,63 @@ def _candidate(marks_known, rid, pub, title, authors, date, identifier):
 
 
 def _grams(letters: str) -> frozenset[str]:
-    return frozenset(letters[i : i + 3] for i in range(max(1, len(letters) - 2)))
+    return frozenset(map("".join, zip(letters, letters[1:], letters[2:]))) or frozenset((letters,))
 
 
-def _near(a: str, words: frozenset[str], lead: dict[str, list[str]]) -> bool:
-    if a in words:
+def _near(a: str, cache: dict) -> bool:
+    if a in cache["words"]:
         return True
+    lead = cache["lead"]
+    if lead is None:  # most names are found as they are
+        lead = cache["lead"] = {}
+        for w in cache["words"]:
+            lead.setdefault(w[:3], []).append(w)
+            lead.setdefault("-" + w[-3:], []).append(w)
     for w in (*lead.get(a[:3], ()), *lead.get("-" + a[-3:], ())):
         if one_edit(a, w):
             return True
     return False
 
 
-def evidence(e: tuple, r: tuple, cache: dict) -> tuple[float, float, float, float, float]:
-    """(title, people, year, sequel, identifier): title in 0..1; people 1 shared, 0 unknown, -1 other; year likewise; sequel 1 if the
-    sequel words differ; identifier 1 if equal. e and r are (letters, marks, names, lead, year, identifier, title_known)."""
-    if cache.get("e") is not e:
-        words = frozenset(e[2].split())
-        lead: dict[str, list[str]] = {}
-        for w in words:
-            lead.setdefault(w[:3], []).append(w)
-            lead.setdefault("-" + w[-3:], []).append(w)
-        cache.update(e=e, grams=_grams(e[0]), words=words, lead=lead)
+def _title(e: tuple, r: tuple, cache: dict) -> float:
+    if not e[0] or not r[0]:
+        return 0.0
+    if e[0] == r[0] or max(len(e[0]), len(r[0])) <= SHORT_TITLE and one_edit(e[0], r[0]):
+        return 1.0
+    if cache.get("letters") != e[0]:
+        cache.update(letters=e[0], grams=_grams(e[0]))
     a, b = cache["grams"], cache["papers"].get(r[0])
     if b is None:
         b = cache["papers"][r[0]] = _grams(r[0])
-    common = len(a & b)
-    if not e[0] or not r[0]:
-        title = 0.0
-    elif max(len(e[0]), len(r[0])) <= SHORT_TITLE and one_edit(e[0], r[0]):
-        title = 1.0
-    elif e[6]:
-        title = common / min(len(a), len(b)) if min(len(a), len(b)) >= 0.35 * max(len(a), len(b)) else common / len(b)
-    else:
-        title = common / len(b)
-    people = 0.0
-    if cache["words"] and r[2]:
-        names = r[2].split()
-        hits = sum(_near(n, cache["words"], cache["lead"]) for n in names)
-        people = 1.0 if hits and (_near(r[3], cache["words"], cache["lead"]) or hits >= 0.5 * len(names)) else -1.0
+    common, least, most = len(a & b), min(len(a), len(b)), max(len(a), len(b))
+    return common / least if e[6] and least >= 0.35 * most else common / len(b)
+
+
+def _people(e: tuple, r: tuple, cache: dict) -> float:
+    if cache.get("e") is not e:
+        cache.update(e=e, words=frozenset(e[2].split()), lead=None)
+    words = cache["words"]
+    if not words or not r[2]:
+        return 0.0
+    names = r[2].split()
+    if r[3] in words and r[3] in names:
+        return 1.0
+    hits = sum(_near(n, cache) for n in names)
+    return 1.0 if hits and (hits >= 0.5 * len(names) or _near(r[3], cache)) else -1.0
+
+
+def evidence(e: tuple, r: tuple, cache: dict) -> tuple[float, float, float, float, float] | None:
+    """(title, people, year, sequel, identifier): title in 0..1; people 1 shared, 0 unknown, -1 other; year likewise; sequel 1 if the
+    sequel words differ; identifier 1 if equal. e and r are (letters, marks, names, lead, year, identifier, title_known).
+
+    None for a title up to LEAST_TITLE without an equal identifier. Lossless: up to a title of 0.62 every rule for a match has body 0 but the
+    identifier's, and its weight is an eighth of the other title's, so such a pair ends at 0; rows of one paper have one title and are left out together."""
+    title, same = _title(e, r, cache), bool(e[5]) and e[5] == r[5]
+    if title <= LEAST_TITLE and not same:
+        return None
     year = 0.0 if e[4] is None or r[4] is None else 1.0 if -1 <= e[4] - r[4] <= 2 else -0.5 if abs(e[4] - r[4]) <= 3 else -1.0
     sequel = float(e[1] != r[1]) if e[6] else float(any(m not in e[0] for m in _WORDS.findall(r[1])))
-    return title, people, year, sequel, float(bool(e[5]) and e[5] == r[5])
+    return title, _people(e, r, cache), year, sequel, float(same)
 
 
 def solve(group: np.ndarray, paper: np.ndarray, ev: np.ndarray) -> np.ndarray:
@@ -312,19 +356,20 @@ def matches(entries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
             cache: dict = {"papers": {}}
-            ev, last, e = [], None, None
-            for row in zip(*cols):
+            kept, ev, last, e = [], [], None, None
+            for i, row in enumerate(zip(*map(values, batch.columns[:16]))):
                 if row[0] != last:
                     last, e = row[0], row[2:9]
-                ev.append(evidence(e, row[9:16], cache))
+                found = evidence(e, row[9:16], cache)
+                if found:
+                    kept.append(i)
+                    ev.append(found)
             arr = np.array(ev, dtype=np.float64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(16), *(pa.array(arr[:, i]) for i in range(5))], ["eid", "rid", "paper", *_EV])
+            rows = batch.take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(16), *(pa.array(arr[:, i]) for i in range(5))], ["eid", "rid", "paper", *_EV])
 
-    # Lossless: up to a title of 0.62 every rule for a match has body 0 but the identifier's, and its weight is an eighth of the
-    # other title's, so such a pair ends at 0; rows of one paper have one title and are left out together.
-    scored = full.mapInArrow(score, "eid bigint, rid bigint, paper bigint, " + ", ".join(f"{c} double" for c in _EV)).where("title > 0.45 or identifier > 0")
+    scored = full.mapInArrow(score, "eid bigint, rid bigint, paper bigint, " + ", ".join(f"{c} double" for c in _EV))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last entry of a batch may go on in the next

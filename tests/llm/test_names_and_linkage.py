@@ -148,3 +148,47 @@ def test_marks_count_all_forms_once(spark, monkeypatch):
     titles = [f"A study of {n} here" for n in names] + [f"A study of {n} here part two" for n in names]
     assert ("+", "part two") in S.learned_marks(spark.createDataFrame([(t,) for t in titles], "title string"))
     assert saved["phrases"][0] == "struct<side:string,phrase:string,n:bigint>" and list(saved) == ["titles", "phrases"]
+
+
+def test_marks_leave_most_titles_at_their_first_word():
+    phrases = [("+", "ii"), ("+", "part two"), ("+", "the * case"), ("+", "* case"), ("-", "erratum to"), ("-", "on the"), ("-", "on the * of"), ("+", "*")]
+    known, asked = S.Marks(phrases), []
+
+    def plain(words):
+        marks = []
+        for side in "+-":
+            for k in range(min(S.MARK_WORDS, len(words) - S.BASE_WORDS), 0, -1):
+                part, rest = (words[-k:], words[:-k]) if side == "+" else (words[:k], words[k:])
+                part = [known.misspelled.get(w, w) for w in part]
+                if (side, " ".join(part)) in phrases or k > 1 and any((side, " ".join((*part[:i], "*", *part[i + 1 :]))) in phrases for i in range(k)):
+                    marks.append(f"{side}{' '.join(part)}")
+                    words = rest
+                    break
+        return words, marks
+
+    rng = np.random.default_rng(5)
+    vocabulary = "ii part two the case erratum erratm to on of glass stars".split()
+    for _ in range(3000):
+        words = [str(w) for w in rng.choice(vocabulary, rng.integers(0, 9))]
+        assert known.split(words) == plain(words)
+
+    class Counted(dict):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+    known.misspelled = Counted(known.misspelled)
+    assert known.split("cuts of planar graphs in porous glass".split())[1] == []
+    assert len(asked) <= 4  # all words of both ends were put together and looked up before
+
+
+def test_poor_pairs_are_left_before_their_people(monkeypatch):
+    asked = []
+    monkeypatch.setattr(S, "one_edit", lambda a, b: asked.append((a, b)) or False)
+    entry, other = ("wavesinporousglassoverlongtimes", "", "doenfeld", "", 2011, "", True), ("cutsofplanargraphsandtheirkinds", "", "doenfelt", "doenfelt", 2011, "", True)
+    cache = {"papers": {}}
+    assert S.evidence(entry, other, cache) is None and not asked
+    same = tuple("1101-00001" if i == 5 else x for i, x in enumerate(entry)), tuple("1101-00001" if i == 5 else x for i, x in enumerate(other))
+    title, *rest = S.evidence(*same, cache)
+    assert title <= S.LEAST_TITLE and rest == [-1.0, 1.0, 0.0, 1.0] and asked
+    assert S.evidence(entry, entry[:2] + ("doenfeld", "doenfeld") + entry[4:], cache) == (1.0, 1.0, 1.0, 0.0, 0.0)
