@@ -127,6 +127,13 @@ def signatures(tokens: list[str], count: int) -> np.ndarray:
     return out
 
 
+def letter_signs(tokens: list[str]) -> np.ndarray:
+    """The set of each token's letters in 32 bits: one letter left out or put in changes one bit at most, one replaced two, an exchange none."""
+    codes = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & np.uint32(31)
+    starts = np.cumsum([0, *map(len, tokens)][:-1])
+    return np.bitwise_or.reduceat(np.left_shift(np.uint32(1), codes), starts).view(np.int32)
+
+
 def spelling_pairs(tokens: DataFrame, rows: int, similarity: float, recall: float = 0.99) -> DataFrame:
     """(bucket, token, cnt), distinct -> (bucket, token, cnt, centre, centre_cnt, umlaut): all pairs of one bucket that are one inserted,
     left out, changed letter or two neighbours swapped apart, or (umlaut) differ in spelled-out umlauts alone. The more frequent token,
@@ -137,31 +144,40 @@ def spelling_pairs(tokens: DataFrame, rows: int, similarity: float, recall: floa
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = signatures(batch.column(1).to_pylist(), bands * rows).reshape(-1, bands, rows)
+            buckets, tokens = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            sig = signatures(tokens, bands * rows).reshape(-1, bands, rows)
             keys = np.zeros(sig.shape[:2], dtype=np.uint64)
             for r in range(rows):
                 keys = (keys ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(31)
             keys += np.arange(bands, dtype=np.uint64)[None, :]
-            plain = np.array([hash_gram(UMLAUT.sub(r"\1", t)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            keys = np.column_stack([keys, plain])
+            plain = np.array([hash_gram(UMLAUT.sub(r"\1", t)) for t in tokens], dtype=np.uint64)
+            own = {b: hash_gram(b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for b in set(buckets)}
+            keys = np.column_stack([keys, plain]) ^ np.array([own[b] for b in buckets], dtype=np.uint64)[:, None]
+            keys[:, :-1] &= ~np.uint64(1)  # odd: the key of spelled-out umlauts
+            keys[:, -1] |= np.uint64(1)
             n, width = keys.shape
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["bucket", "token", "cnt", "keys"])
-
-    banded = tokens.where(F.length("token") > 2).select("bucket", "token", "cnt").mapInArrow(run, "bucket string, token string, cnt bigint, keys array<bigint>")
-    rare = banded.select("bucket", F.col("token").alias("t"), F.col("cnt").alias("c"), F.explode("keys").alias("k"))
-    often = banded.select("bucket", F.col("token").alias("o"), F.col("cnt").alias("oc"), F.explode("keys").alias("k"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(letter_signs(tokens)), lists], ["id", "signs", "keys"])
+
+    # Tokens meet as numbers: bucket and band are one key, and the text comes back only for pairs whose letters differ in two signs at most, as
+    # those of every pair one error apart do, or that met under the umlaut key.
+    own = tokens.where(F.length("token") > 2).select(F.xxhash64("bucket", "token").alias("id"), "bucket", "token", "cnt")
+    banded = own.select("id", "bucket", "token").mapInArrow(run, "id bigint, signs int, keys array<bigint>")
+    side = lambda p: banded.select(F.col("id").alias(p), F.col("signs").alias(f"{p}_signs"), F.explode("keys").alias("k"))  # noqa: E731; both renamed, so one shuffle serves both
+    alike = F.bit_count(F.col("one_signs").bitwiseXOR(F.col("other_signs"))) <= 2
+    met = side("one").join(side("other"), "k").where((F.col("one") < F.col("other")) & (alike | (F.col("k") % 2 != 0))).select("one", "other").distinct()
+    near = met.join(own.select(F.col("id").alias("one"), "bucket", F.col("token").alias("t"), F.col("cnt").alias("c")), "one")
+    near = near.join(own.select(F.col("id").alias("other"), F.col("bucket").alias("other_bucket"), F.col("token").alias("o"), F.col("cnt").alias("oc")), "other")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     swapped = (F.length("t") == F.length("o")) & (letters(F.col("t")) == letters(F.col("o")))
     distance = F.levenshtein("t", "o", 2)
     plain = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("ae"), F.lit("a")), F.lit("oe"), F.lit("o")), F.lit("ue"), F.lit("u"))
-    umlaut = plain("t") == plain("o")
-    higher = (F.col("oc") > F.col("c")) | (F.col("oc") == F.col("c")) & (F.col("o") > F.col("t"))
-    near = rare.join(often, ["k", "bucket"]).where(higher & ((F.abs(F.length("t") - F.length("o")) <= 1) | umlaut))
-    near = near.groupBy("bucket", "t", "o").agg(F.max("c").alias("cnt"), F.max("oc").alias("centre_cnt")).withColumn("umlaut", umlaut)
+    near = near.where(F.col("bucket") == F.col("other_bucket")).withColumn("umlaut", plain("t") == plain("o"))
     near = near.where((distance == 1) | (distance == 2) & swapped | F.col("umlaut"))
-    return near.select("bucket", F.col("t").alias("token"), "cnt", F.col("o").alias("centre"), "centre_cnt", "umlaut")
+    higher = (F.col("oc") > F.col("c")) | (F.col("oc") == F.col("c")) & (F.col("o") > F.col("t"))
+    of = lambda rare, often: F.when(higher, F.col(rare)).otherwise(F.col(often))
+    return near.select("bucket", of("t", "o").alias("token"), of("c", "oc").alias("cnt"), of("o", "t").alias("centre"), of("oc", "c").alias("centre_cnt"), "umlaut")
 
 
 def best_links(pairs: DataFrame, scratch: Scratch, step: str) -> DataFrame:

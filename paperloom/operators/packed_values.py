@@ -14,6 +14,8 @@ _TEX_UMLAUT, _ENTITY_OPEN, _ENTITY_CLOSE, _DOUBLED = "\ue000", "\ue001", "\ue002
 
 #: A closing "and others" of any form is no value.
 _OTHERS = r"(?iU)(?:[\s,;|/·&]|\b(?:and|und|et|y|e|и)\b)*(?<![\p{L}\p{N}])(?:et\.?\s+al(?:ii|\b\.?)|others\b\.?|(?-i:u\.\s?a\.)|и\s+др\.?|co-?workers|colleagues|y\s+otros|et\s+autres|…|\.\.\.)[\s,;|/·]*$"
+#: What any such ending has as its last two signs; few values do.
+_OTHERS_TAIL = r"(?iU)(?:al|ii|rs|es|os|др|[alsр]\.|\.\.)$|[\s,;|/·…]$"
 _NAME_DELIMITER = r"(?U)\s*(?:[\n\r\t|·;]|,?\s+(?i:and)\s+|,?\s+&\s+|\s+/\s+)\s*"
 _GROUP = r"(?iU)\b(?:coll(?:ab(?:oration)?)?|consortium|group|team|project)\b"
 _SUFFIX = r"(?iU)^(?:jr|sr|ii|iii|iv)\.?$"
@@ -27,12 +29,17 @@ _YEAR = r"(?<![0-9])(?:1[6-9]|20)[0-9]{2}(?![0-9])"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+$", "")
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))  # most values have nothing to trim: the whole is not searched for it
+    return F.when(ends.rlike(r"(?U)[\s\u200b\ufeff]"), F.regexp_replace(c, r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+$", "")).otherwise(c)
+
+
+def _without_others(c: Column) -> Column:
+    return F.when(F.substring(c, -2, 2).rlike(_OTHERS_TAIL), F.regexp_replace(c, _OTHERS, "")).otherwise(c)
 
 
 def _protect(c: Column) -> Column:
-    c = F.regexp_replace(c, r"&amp;", "&")
-    c = F.regexp_replace(c, r"&(#?[A-Za-z0-9]{1,10});", f"{_ENTITY_OPEN}$1{_ENTITY_CLOSE}")
+    c = F.replace(c, F.lit("&amp;"), F.lit("&"))
+    c = F.when(F.contains(c, F.lit("&")), F.regexp_replace(c, r"&(#?[A-Za-z0-9]{1,10});", f"{_ENTITY_OPEN}$1{_ENTITY_CLOSE}")).otherwise(c)
     return F.replace(c, F.lit('\\"'), F.lit(_TEX_UMLAUT))
 
 
@@ -53,8 +60,10 @@ def _by_quotes(text: Column, is_quoted: Column, unquoted) -> Column:
 
 
 def _comma_names(piece: Column) -> Column:
-    """Fold the comma pieces of one name list: a lone word is a surname and takes the given names that follow."""
-    parts = _nonblank(F.transform(F.split(piece, r"\s*,\s*"), lambda p: _trim(F.regexp_replace(p, r"(?iU)^(?:and|&)\s+", ""))))
+    """Fold the comma pieces of one name list: a lone word is a surname and takes the given names that follow. Without a comma there is nothing to fold."""
+    several = F.contains(piece, F.lit(","))
+    parts = F.transform(F.when(several, F.split(piece, r"\s*,\s*")).otherwise(F.array(piece)), lambda p: F.when(F.substring(p, 1, 3).rlike(r"(?i)^(?:and|&)"), F.regexp_replace(p, r"(?iU)^(?:and|&)\s+", "")).otherwise(p))
+    parts = _nonblank(F.transform(parts, _trim))  # step by step: inside a lambda nothing is kept that is used twice
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
     def step(state: Column, part: Column) -> Column:
@@ -62,21 +71,22 @@ def _comma_names(piece: Column) -> Column:
         lone = ~part.rlike(r"(?U)[\s~]") & ~part.rlike(_GROUP) & ~part.rlike(r"^(?:\p{Lu}\p{M}*\.-?)+$")
         last = F.size(out)
         return (
-            F.when(part.rlike(_SUFFIX) & (waiting == "") & (last > 0), F.struct(F.concat(F.slice(out, 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat_ws(", ", F.try_element_at(out, F.greatest(last, F.lit(1))), part))).alias("out"), F.lit("").alias("open")))
+            F.when((waiting == "") & (last > 0) & part.rlike(_SUFFIX), F.struct(F.concat(F.slice(out, 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat_ws(", ", F.try_element_at(out, F.greatest(last, F.lit(1))), part))).alias("out"), F.lit("").alias("open")))
             .when(waiting != "", F.struct(F.concat(out, F.array(F.concat(waiting, F.lit(", "), part))).alias("out"), F.lit("").alias("open")))
             .when(lone, F.struct(out.alias("out"), part.alias("open")))
             .otherwise(F.struct(F.concat(out, F.array(part)).alias("out"), F.lit("").alias("open")))
         )
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.concat(s["out"], F.array(s["open"]))).otherwise(s["out"]))
+    folded = F.aggregate(parts, start, step, lambda s: F.when(s["open"] != "", F.concat(s["out"], F.array(s["open"]))).otherwise(s["out"]))
+    return F.when(several, folded).otherwise(parts)
 
 
 def prepare_names(field: Column) -> Column:
     """An author field with its quotes made alike, entities protected and a closing "and others" dropped."""
     text = _trim(_protect(field))
-    single = text.rlike(r"^'(?:[^']|\\')*'\s*[;,|&/]") & text.rlike(r"'[\s;,|&/]*$")
+    single = text.startswith("'") & text.rlike(r"^'(?:[^']|\\')*'\s*[;,|&/]") & text.rlike(r"'[\s;,|&/]*$")
     text = F.when(single, F.regexp_replace(text, r"^'|(?<!\\)'(?=\s*(?:[;,|&/]|$))|(?<=[;,|&/]\s{0,3})'", '"')).otherwise(text)
-    return F.regexp_replace(text, _OTHERS, "")
+    return _without_others(text)
 
 
 def split_names(text: Column) -> Column:
@@ -89,7 +99,7 @@ def split_names(text: Column) -> Column:
     def unquoted(piece: Column) -> Column:
         return F.flatten(F.transform(F.split(piece, _NAME_DELIMITER), _comma_names))
 
-    return F.transform(_nonblank(F.transform(_by_quotes(text, text.startswith('"'), unquoted), lambda v: _trim(F.regexp_replace(v, _OTHERS, "")))), _restore)
+    return F.transform(_nonblank(F.transform(F.transform(_by_quotes(text, text.startswith('"'), unquoted), _without_others), _trim)), _restore)
 
 
 def prepare_references(field: Column) -> Column:

@@ -192,3 +192,28 @@ def test_poor_pairs_are_left_before_their_people(monkeypatch):
     title, *rest = S.evidence(*same, cache)
     assert title <= S.LEAST_TITLE and rest == [-1.0, 1.0, 0.0, 1.0] and asked
     assert S.evidence(entry, entry[:2] + ("doenfeld", "doenfeld") + entry[4:], cache) == (1.0, 1.0, 1.0, 0.0, 0.0)
+
+
+def test_tokens_meet_as_numbers(spark):
+    """All pairs one error apart or alike but for umlauts; before they are distinct, no text is joined, and the bands are shuffled once."""
+    words = "ladvazmoner ladvazmoener ladvazmonre ladvazmonr ladvazmoners ladwazmoner ladvazmonxy moeuellaedoener mulladoner muelladoner li lie lied".split()
+    tokens = spark.createDataFrame([(b, w, 5 - i % 3) for b in ("Pl", "Pm") for i, w in enumerate(words)] + [("Px", "ladvazmone", 1), ("Py", "ladvazmoner", 2)], "bucket string, token string, cnt bigint")
+    pairs = N.spelling_pairs(tokens, rows=1, similarity=0.3, recall=0.9999)
+    got = {tuple(r) for r in pairs.collect()}
+    want = set()
+    for bucket in ("Pl", "Pm"):
+        for (i, a), (j, b) in itertools.combinations(enumerate(words), 2):
+            umlaut = N.UMLAUT.sub(r"\1", a) == N.UMLAUT.sub(r"\1", b)
+            if min(len(a), len(b)) > 2 and (umlaut or S.one_edit(a, b)):
+                (n, rare), (m, often) = sorted([(5 - i % 3, a), (5 - j % 3, b)])
+                want.add((bucket, rare, n, often, m, umlaut))
+    assert got == want and any(g[5] for g in got)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "explode(keys" in line]
+    assert len(exploded) == 2 and not any("token" in line for line in exploded)
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letter_signs():
+    a, *others = N.letter_signs(["kofmeb", "kofmebs", "kofme", "kofxeb", "kofmbe", "zzz"]).tolist()
+    assert [bin((a ^ o) & 0xFFFFFFFF).count("1") for o in others] == [1, 1, 2, 0, 7]
